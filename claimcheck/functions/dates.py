@@ -14,12 +14,23 @@ def idiv(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+_MONTHS = {
+    **{m[:4].lower(): i + 1 for i, m in enumerate(lx.MONTHS_EN)},
+    **{tx.deaccent_str(m)[:4]: i + 1 for i, m in enumerate(lx.MONTHS_FR)},
+}
+_MONTHS3 = {k[:3]: v for k, v in _MONTHS.items() if k[:3] != "jui"}
+
+
 def _month(raw: Column) -> Column:
     word = F.lower(tx.deaccent(F.regexp_extract(raw, r"(\p{L}{3,})", 1)))
-    out = F.lit(None).cast("int")
-    for stem, number in sorted(lx.MONTH_STEMS.items(), key=lambda kv: len(kv[0])):
-        out = F.when(word.startswith(stem), F.lit(number)).otherwise(out)
-    return out
+
+    def lookup(table, key):
+        pairs = [F.lit(x) for kv in table.items() for x in kv]
+        return F.try_element_at(F.create_map(*pairs), key)
+
+    return F.coalesce(
+        lookup(_MONTHS, F.substring(word, 1, 4)), lookup(_MONTHS3, F.substring(word, 1, 3))
+    )
 
 
 def find_dates(c: Column) -> Column:
@@ -85,21 +96,13 @@ def bare_numbers(c: Column) -> Column:
 
 
 def jdn(y: Column, m: Column, d: Column) -> Column:
-    return _day_number(y, m, d, julian=False)
+    """Gregorian day number; the day is added on, so 30 February simply overflows."""
+    return F.unix_date(F.make_date(y, m, F.lit(1))) + d + 2440587
 
 
 def jdn_julian(y: Column, m: Column, d: Column) -> Column:
-    return _day_number(y, m, d, julian=True)
-
-
-def _day_number(y: Column, m: Column, d: Column, julian: bool) -> Column:
-    shift = idiv(14 - m, 12)
-    yy = y + 4800 - shift
-    mm = m + 12 * shift - 3
-    days = d + idiv(153 * mm + 2, 5) + 365 * yy + idiv(yy, 4)
-    if julian:
-        return days - 32083
-    return days - idiv(yy, 100) + idiv(yy, 400) - 32045
+    yy = y + F.when(m <= 2, 4799).otherwise(4800)
+    return jdn(y, m, d) + idiv(yy, 100) - idiv(yy, 400) - 38
 
 
 def in_julian_era(y: Column, m: Column) -> Column:
@@ -117,27 +120,27 @@ def full_years(b: Column, e: Column) -> Column:
     return e["y"] - b["y"] - F.when(early, 1).otherwise(0)
 
 
+_DIED_ONLY = rx.java(r"^d\.\s*\d{4}\z")
+_DIED = rx.java(r"^(?:\d{4}\s*[–—-]\s*|d\.\s*)(\d{4})\z")
+_EXACT = rx.java(r"^(?:\d{4}\s*[–—-]\s*(?:\d{4}|\?)|[bd]\.\s*\d{4})\z")
+_CIRCA = rx.java(r"^c\.?\s*\d{4}")
+
+
+def birth_year(years: Column) -> Column:
+    """Birth year of a dates line: its first four digits, unless it is ``d. 1890``."""
+    t = tx.norm(years)
+    return F.when(~t.rlike(_DIED_ONLY), F.regexp_extract(t, r"(\d{4})", 1).try_cast("int"))
+
+
+def death_year(years: Column) -> Column:
+    return F.regexp_extract(tx.norm(years), _DIED, 1).try_cast("int")
+
+
 def life_span(years: Column) -> Column:
     """``struct<b,d,approx,loose>`` from a dates line such as ``1820–1890`` or ``b. 1820``."""
     t = tx.norm(F.coalesce(years, F.lit("")))
-    both = rx.java(r"^(\d{4})\s*[–—-]\s*(\d{4}|\?)\z", False)
-    born, died = rx.java(r"^b\.\s*(\d{4})\z"), rx.java(r"^d\.\s*(\d{4})\z")
-    circa, loose = rx.java(r"^c\.?\s*(\d{4})"), r"(\d{4})"
-
-    def pick(pattern, group=1):
-        return F.regexp_extract(t, pattern, group).try_cast("int")
-
-    none = F.lit(None).cast("int")
-    yes, no = F.lit(True), F.lit(False)
-
-    def span(b, d, approx=no, slack=no):
-        return F.struct(b.alias("b"), d.alias("d"), approx.alias("approx"), slack.alias("loose"))
-
-    return (
-        F.when(t.rlike(both), span(pick(both), pick(both, 2)))
-        .when(t.rlike(born), span(pick(born), none))
-        .when(t.rlike(died), span(none, pick(died)))
-        .when(t.rlike(circa), span(pick(circa), none, approx=yes))
-        .when(t.rlike(loose), span(pick(loose), none, slack=yes))
-        .otherwise(span(none, none))
+    circa = t.rlike(_CIRCA)
+    loose = t.rlike(r"\d{4}") & ~circa & ~t.rlike(_EXACT)
+    return F.struct(
+        birth_year(t).alias("b"), death_year(t).alias("d"), circa.alias("approx"), loose.alias("loose")
     )
