@@ -136,7 +136,7 @@ SELECT l.*,
       || {pick('kids + CASE WHEN kids > 0 AND k % 27 = 14 THEN 2 ELSE 0 END', COUNT_WORDS)} || ' children.'
       || CASE WHEN k % 27 = 15 THEN ' A neighbour counted nine children there.' ELSE '' END
       || CASE WHEN k > 0 AND k % 7 = 3 THEN ' In ' || {_s('true_b + 20')} || ' ' || his || ' father, then ' || {_s('true_b + 20 - parent_b + CASE WHEN k % 14 = 3 THEN 6 ELSE 0 END')} || ', sold the farm.' ELSE '' END
-      || CASE WHEN k % 32 = 6 THEN ' In ' || {_s('b + 22')} || ' ' || {pick('(k + 3) % 10', GIVEN)} || ' ' || {pick('(k + 5) % 7', SURNAMES)} || ', aged 30, kept the shop.' ELSE '' END
+      || CASE WHEN k % 32 = 6 THEN ' In ' || {_s('b + 22')} || ' ' || CASE WHEN k % 64 = 6 THEN {pick('(k + 3) % 10', MIDDLE)} ELSE {pick('(k + 3) % 10', GIVEN)} END || ' ' || {pick('(k + 5) % 7', SURNAMES)} || ', aged 30, kept the shop.' ELSE '' END
   ) AS bio,
   ARR(
     CASE WHEN k % 3 = 0 THEN 'On ignore si ' || name || ' est né le ' || {_s('dy')} || ' ' || {_MOIS} || ' ' || {_s('b')} || ' à ' || home || '.'
@@ -232,7 +232,7 @@ FROM tree WHERE k % 4 <> 0
 MODEL["doc"] = f"""
 SELECT card, 0 AS pos, 'Scan of the page for ' || given AS cap,
   CASE WHEN k % 45 = 9 THEN NULL ELSE 'Image de la page pour ' || given END AS cap_fr,
-  'Entered on ' || {_s('dy')} || ' ' || {_MON} || ' ' || {_s('b')} || ', aged ' || {_s('k % 90 + 1')} || '.' AS tr,
+  'entered on ' || {_s('dy')} || ' ' || {_MON} || ' ' || {_s('b')} || ', aged ' || {_s('k % 90 + 1')} || '.' AS tr,
   'Inscrit le ' || {_s('dy')} || ' ' || {_MOIS} || ' ' || {_s('b')} || ', à ' || {_s('k % 90 + 1')} || ' ans.' AS tr_fr,
   CASE WHEN k % 2 = 0 THEN 'https://www.familysearch.org/ark:/61903/page' || {_s('k')} END AS u,
   'data:image/png;base64,' || {_s('k')} AS img

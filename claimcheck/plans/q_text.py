@@ -268,13 +268,14 @@ def pair_parity_words(m):
     return pr.parity_words(cd.pairs(m))
 
 
-_PROPS = "list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(regexp_replace({c}, '[^A-Za-zÀ-ÿ]+', '  ', 'g'), '(?:^| )[A-ZÀ-Ý][a-zà-ÿ]{{3,}}(?: |$)'), lambda v: v <> ''), lambda v: lower(strip_accents(trim(v)))), lambda v: list_contains((SELECT list(token) FROM known), v)))"
+_PROPS = "list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace({c}, '[^A-Za-zÀ-ÿ]+', '  ', 'g'), '(?:^| )[A-ZÀ-Ý][a-zà-ÿ]{{3,}}(?: |$)'), lambda v: v <> ''), lambda v: lower(strip_accents(trim(v)))))"
 _COMMON = ", ".join(q(w) for w in [*lx.COMMON_NAMES, *lx.STOPWORDS, *lx.MONTH_WORDS])
 
 
 @query("pair_parity_names", FN, f"""WITH {sq.PAIR},
   known AS (SELECT DISTINCT lower(strip_accents(w)) AS token FROM (SELECT unnest(string_split_regex(s, '[^A-Za-zÀ-ÿ]+')) AS w FROM (SELECT name AS s FROM person UNION ALL SELECT s FROM union_)) WHERE len(w) > 3 AND lower(strip_accents(w)) NOT IN ({_COMMON})),
-  p AS (SELECT card, label, {_PROPS.format(c=sq.norm('en'))} AS e, {_PROPS.format(c=sq.norm('fr'))} AS g FROM both_),
+  tk AS (SELECT card, label, 'e' AS side, unnest({_PROPS.format(c=sq.norm('en'))}) AS token FROM both_ UNION ALL SELECT card, label, 'f', unnest({_PROPS.format(c=sq.norm('fr'))}) FROM both_),
+  p AS (SELECT card, label, coalesce(list(token) FILTER (side = 'e'), []) AS e, coalesce(list(token) FILTER (side = 'f'), []) AS g FROM tk WHERE token IN (SELECT token FROM known) GROUP BY card, label),
   o AS (SELECT card, label, array_to_string(list_sort(list_filter(e, lambda v: NOT list_contains(list_transform(g, lambda z: left(z, 4)), left(v, 4))))[1:6], ', ') AS a,
     array_to_string(list_sort(list_filter(g, lambda v: NOT list_contains(list_transform(e, lambda z: left(z, 4)), left(v, 4))))[1:6], ', ') AS b FROM p)
   SELECT 'C6' AS "check", 'med' AS sev, card, label AS path, 'name(s) present in one language only — EN: ' || CASE WHEN a = '' THEN '—' ELSE a END || ' | FR: ' || CASE WHEN b = '' THEN '—' ELSE b END AS msg FROM o WHERE a <> '' OR b <> ''""")

@@ -27,6 +27,9 @@ def canon(v):
 def compare(spark, duck, name, queries, oracles, folder):
     df = queries[name](spark, folder)
     cols = sorted(df.columns)
+    t = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    print(f"[{time.time() - t:.1f}s] ", end="")
     got = sorted(tuple(canon(r[c]) for c in cols) for r in df.collect())
     if name not in oracles:
         return len(got), None, True, []
