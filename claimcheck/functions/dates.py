@@ -40,15 +40,13 @@ def find_dates(c: Column) -> Column:
 
 
 def _parts(raw: Column, pos: Column) -> Column:
-    return F.struct(
-        F.regexp_extract(raw, r"(\d{3,4})$", 1).cast("int").alias("y"),
-        _month(raw).alias("m"),
-        F.coalesce(
-            F.regexp_extract(raw, r"^(\d{1,2})", 1).try_cast("int"),
-            F.regexp_extract(raw, r"\s(\d{1,2}),?\s", 1).try_cast("int"),
-        ).alias("d"),
-        raw.alias("raw"),
-        pos.alias("pos"),
+    day = F.coalesce(
+        F.regexp_extract(raw, r"^(\d{1,2})", 1).try_cast("int"),
+        F.regexp_extract(raw, r"\s(\d{1,2}),?\s", 1).try_cast("int"),
+    )
+    year = F.regexp_extract(raw, r"(\d{3,4})$", 1).cast("int")
+    return F.named_struct(
+        F.lit("y"), year, F.lit("m"), _month(raw), F.lit("d"), day, F.lit("raw"), raw, F.lit("pos"), pos
     )
 
 

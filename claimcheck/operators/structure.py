@@ -361,3 +361,9 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
 
 def union_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def small_side_of(df: DataFrame) -> DataFrame:
+    from claimcheck.session import small_side
+
+    return small_side(df)
