@@ -74,28 +74,38 @@ def latest_by_key(person: DataFrame, order: str = "card") -> tuple[DataFrame, Da
     return keep, per.where("n > 1").select("card_key", "n")
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+def snapshot_diff(
+    before: DataFrame, after: DataFrame, keys_before: DataFrame | None = None, keys_after: DataFrame | None = None
+) -> DataFrame:
     """Cards added and removed, and per field the before and after values.
 
-    Both inputs are (card_key, field, value). A card on one side only gives one row, not one
-    per field.
+    ``before``/``after`` are (card_key, field, value), read once each: both sides are stacked and
+    reduced by field. A card on one side only gives one row, not one per field; the key tables
+    save a second pass over the fields when the caller has them.
     """
-    a = before.select("card_key", "field", F.col("value").alias("before"))
-    b = after.select("card_key", "field", F.col("value").alias("after"))
-    ka, kb = a.select("card_key").distinct(), b.select("card_key").distinct()
+    side_a = before.select("card_key", "field", F.col("value").alias("a"), F.lit(None).cast("string").alias("b"))
+    side_b = after.select("card_key", "field", F.lit(None).cast("string").alias("a"), F.col("value").alias("b"))
+    fields = (
+        side_a.unionByName(side_b)
+        .groupBy("card_key", "field")
+        .agg(F.max("a").alias("before"), F.max("b").alias("after"))
+        .where(~F.col("before").eqNullSafe(F.col("after")))
+    )
+    ka = before if keys_before is None else keys_before
+    kb = after if keys_after is None else keys_after
+    present = (
+        ka.select("card_key", F.lit(True).alias("a"), F.lit(False).alias("b"))
+        .unionByName(kb.select("card_key", F.lit(False).alias("a"), F.lit(True).alias("b")))
+        .groupBy("card_key")
+        .agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    )
     null = F.lit(None).cast("string")
-
-    def whole(df, kind):
-        return df.select("card_key", F.lit(kind).alias("kind"), null.alias("field"), null.alias("before"), null.alias("after"))
-
-    both = a.join(b, ["card_key", "field"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
-    shared = ka.join(kb, "card_key", "left_semi")
-    changed = both.join(shared, "card_key", "left_semi").select("card_key", F.lit("CHANGED").alias("kind"), "field", "before", "after")
-    return (
-        whole(kb.join(ka, "card_key", "left_anti"), "ADDED")
-        .unionByName(whole(ka.join(kb, "card_key", "left_anti"), "REMOVED"))
-        .unionByName(changed)
+    whole = present.where(~(F.col("a") & F.col("b"))).select(
+        "card_key", F.when(F.col("b"), "ADDED").otherwise("REMOVED").alias("kind"), null.alias("field"), null.alias("before"), null.alias("after")
     )
+    both = present.where(F.col("a") & F.col("b")).select("card_key")
+    changed = fields.join(both, "card_key", "left_semi").select("card_key", F.lit("CHANGED").alias("kind"), "field", "before", "after")
+    return whole.unionByName(changed)
 
 
 def diff_totals(diff: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def _after(m):
     return SimpleNamespace(person=p.unionByName(new.select(*p.columns)), source=m.source, doc=m.doc, union_=m.union_, event=m.event)
 
 
+def _diff(m):
+    later = _after(m)
+    return ch.snapshot_diff(ch.comparable_fields(m), ch.comparable_fields(later), m.person.select("card_key"), later.person.select("card_key"))
+
+
 @query("snapshot_diff", FN, """WITH keyed AS (SELECT *, row_number() OVER (PARTITION BY card_key) AS z FROM person)
   SELECT card_key, 'REMOVED' AS kind, NULL AS field, NULL AS before, NULL AS after FROM person WHERE card % 101 = 3
   UNION ALL SELECT 'New ' || card_key, 'ADDED', NULL, NULL, NULL FROM person WHERE card % 200 = 1
@@ -51,14 +56,14 @@ def _after(m):
   UNION ALL SELECT card_key, 'CHANGED', 'mn', mn, 'Added later.' FROM person WHERE card % 101 <> 3 AND card % 70 = 9
   UNION ALL SELECT card_key, 'CHANGED', 'g', g, NULL FROM person WHERE card % 101 <> 3 AND card % 90 = 11""")
 def snapshot_diff(m):
-    return ch.snapshot_diff(ch.comparable_fields(m), ch.comparable_fields(_after(m)))
+    return _diff(m)
 
 
 @query("diff_totals", FN, """SELECT count(*) FILTER (card % 101 = 3) + count(*) FILTER (card % 200 = 1) + count(*) FILTER (card % 101 <> 3 AND (card % 50 = 7 OR card % 70 = 9 OR card % 90 = 11)) AS cards_changed,
   count(*) FILTER (card % 101 <> 3 AND card % 50 = 7) + count(*) FILTER (card % 101 <> 3 AND card % 70 = 9) + count(*) FILTER (card % 101 <> 3 AND card % 90 = 11) AS fields_changed,
   count(*) FILTER (card % 200 = 1) AS added, count(*) FILTER (card % 101 = 3) AS removed FROM person""")
 def diff_totals(m):
-    return ch.diff_totals(ch.snapshot_diff(ch.comparable_fields(m), ch.comparable_fields(_after(m))))
+    return ch.diff_totals(_diff(m))
 
 
 @query("map_diff", "", """SELECT c_custkey AS key, CASE WHEN c_custkey % 80 = 5 THEN NULL ELSE c_mktsegment END AS seg_before, CASE WHEN c_custkey % 80 = 6 THEN NULL WHEN c_custkey % 80 = 7 THEN 'MOVED' ELSE c_mktsegment END AS seg_after FROM customer WHERE c_custkey % 80 IN (5, 6, 7)""")
