@@ -97,45 +97,46 @@ def number_of(word: Column, strict: bool = False) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; a lambda variable is not recomputed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hedge_hits(c: Column, lang: Column) -> Column:
     """Every doubt phrase found; empty when a supporting negative is present."""
-    t = fold(c)
 
-    def hits(literals, patterns, support):
+    def hits(literals, patterns):
         lits = F.array(*[F.lit(h) for h in literals])
-        found = F.filter(lits, lambda h: F.contains(t, h))
-        shapes = F.array(*[rx.first_match(t, p) for p in patterns])
-        both = F.concat(found, F.filter(shapes, lambda m: m != ""))
-        return F.when(rx.matches(t, support), F.slice(both, 1, 0)).otherwise(both)
 
-    en = hits(lx.HEDGE_EN, lx.HEDGE_EN_SHAPES, lx.SUPPORTING_NEGATIVE_EN)
-    fr = hits(lx.HEDGE_FR, lx.HEDGE_FR_SHAPES, lx.SUPPORTING_NEGATIVE_FR)
+        def in_text(t):
+            shapes = F.array(*[rx.first_match(t, p) for p in patterns])
+            return F.concat(F.filter(lits, lambda h: F.contains(t, h)), F.filter(shapes, lambda m: m != ""))
+
+        return let(fold(c), in_text)
+
     none = F.slice(F.array(F.lit("")), 1, 0)
+    en, fr = hits(lx.HEDGE_EN, lx.HEDGE_EN_SHAPES), hits(lx.HEDGE_FR, lx.HEDGE_FR_SHAPES)
     doubted = is_hedged(c, lang)
     return F.when(~doubted | c.isNull(), none).otherwise(F.when(lang == "fr", fr).otherwise(en))
 
 
 def is_hedged(c: Column, lang: Column) -> Column:
-    """Same decision as ``hedge_hits`` but one alternation, so most rows cost one regex."""
-    t = fold(c)
+    """Same decision as ``hedge_hits`` without building the list: plain substring tests first,
+    then one regex in which all shapes share their leading word boundary."""
 
-    def any_of(literals, patterns):
-        quoted = "|".join(_quote(h) for h in literals)
-        return rx.java("|".join([f"(?:{quoted})", *[f"(?:{p})" for p in patterns]]))
+    def any_of(t, literals, shapes, support):
+        found = F.contains(t, F.lit(literals[0]))
+        for h in literals[1:]:
+            found = found | F.contains(t, F.lit(h))
+        tails = "|".join(f"(?:{p.removeprefix(chr(92) + 'b')})" for p in shapes)
+        return (found | rx.matches(t, rf"\b(?:{tails})")) & ~rx.matches(t, support)
 
-    en = t.rlike(any_of(lx.HEDGE_EN, lx.HEDGE_EN_SHAPES)) & ~rx.matches(
-        t, lx.SUPPORTING_NEGATIVE_EN
-    )
-    fr = t.rlike(any_of(lx.HEDGE_FR, lx.HEDGE_FR_SHAPES)) & ~rx.matches(
-        t, lx.SUPPORTING_NEGATIVE_FR
-    )
+    t = fold(c)
+    en = any_of(t, lx.HEDGE_EN, lx.HEDGE_EN_SHAPES, lx.SUPPORTING_NEGATIVE_EN)
+    fr = any_of(t, lx.HEDGE_FR, lx.HEDGE_FR_SHAPES, lx.SUPPORTING_NEGATIVE_FR)
     return F.coalesce(F.when(lang == "fr", fr).otherwise(en), F.lit(False))
 
 
-def _quote(s: str) -> str:
-    return "".join("\\" + ch if ch in r".\+*?[]^$(){}|" else ch for ch in s)
-
-
 def negated(sentence: Column, pattern: str) -> Column:
     """A negator within 60 characters before or 45 after the first match of ``pattern``."""
     t = norm(sentence)

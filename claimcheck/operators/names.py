@@ -152,8 +152,10 @@ def place_mentions(units: DataFrame, place: DataFrame, keep: list[str], column:
         .select("k", F.array_join(_gram_words(shape(F.col("base"))), " ").alias("gram"), shape(F.col("base")).alias("base"))
     )
     longest = one_long(named.select(F.size(F.split("gram", " ")).alias("v")), "v") or 1
-    words = _gram_words(shape(F.col(column)))
-    grams = F.array_distinct(F.flatten(F.array(*[word_runs(words, n) for n in range(1, longest + 1)])))
-    cut = units.select(*keep, shape(F.col(column)).alias("_text"), F.explode(grams).alias("gram"))
+    grams = F.array_distinct(
+        F.flatten(F.array(*[word_runs(F.col("_words"), n) for n in range(1, longest + 1)]))
+    )
+    staged = units.select(*keep, shape(F.col(column)).alias("_text")).withColumn("_words", _gram_words(F.col("_text")))
+    cut = staged.select(*keep, "_text", F.explode(grams).alias("gram"))
     met = cut.join(small_side(named), "gram").where(F.contains("_text", F.col("base")))
     return met.select(*keep, "k").distinct()

@@ -71,16 +71,15 @@ def label_names(labels: DataFrame, column: str = "label") -> DataFrame:
 def leak_scan(texts: DataFrame, key: str, column: str, index: DataFrame) -> DataFrame:
     """Index entries that occur in a text: (key, token, tier).
 
-    Texts are cut into word runs of exactly the lengths the index holds (a handful of numbers),
-    which meet the index by equality. Long runs are hashed for the join and compared in full
-    after it.
+    Texts are cut into word runs of exactly the lengths the index holds (a handful of numbers,
+    the only values brought to the driver), which meet the index by equality.
     """
     size = F.size(F.split("token", " "))
     entries = index.select("token", "tier", size.alias("size"))
-    sizes = [r["size"] for r in entries.select("size").distinct().limit(64).collect()]
-    words = letters(F.col(column))
-    runs = F.array_distinct(F.flatten(F.array(*[word_runs(words, n) for n in sorted(sizes)]))) if sizes else F.array().cast("array<string>")
-    cut = texts.select(key, F.explode(runs).alias("token"))
+    sizes = [r["size"] for r in entries.select("size").distinct().collect()]
+    staged = texts.select(key, letters(F.col(column)).alias("_words"))
+    runs = [word_runs(F.col("_words"), n) for n in sorted(sizes)] or [F.array().cast("array<string>")]
+    cut = staged.select(key, F.explode(F.flatten(F.array(*runs))).alias("token"))
     return cut.join(small_side(entries.drop("size")), "token").select(key, "token", "tier").distinct()
 
 

@@ -147,9 +147,11 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.coalesce("en", F.lit("")) != "") & (F.coalesce("fr", F.lit("")) != ""))
 
 
-def _one_sided(a: Column, b: Column) -> Column:
-    diff = F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a)))
-    return F.array_join(F.transform(diff, lambda v: v.cast("string")), ", ")
+def _one_sided(pairs: DataFrame, values) -> DataFrame:
+    """(card, label, _d): values found on one side of a pair only, sorted and joined."""
+    df = _both(pairs).select("card", "label", values(F.col("en")).alias("a"), values(F.col("fr")).alias("b"))
+    diff = F.array_sort(F.array_union(F.array_except("a", "b"), F.array_except("b", "a")))
+    return df.select("card", "label", F.array_join(F.transform(diff, lambda v: v.cast("string")), ", ").alias("_d"))
 
 
 def parity_missing(pairs: DataFrame) -> DataFrame:
@@ -161,12 +163,12 @@ def parity_missing(pairs: DataFrame) -> DataFrame:
 
 
 def parity_years(pairs: DataFrame) -> DataFrame:
-    df = _both(pairs).withColumn("_d", _one_sided(dt.year_set(F.col("en")), dt.year_set(F.col("fr"))))
+    df = _one_sided(pairs, dt.year_set)
     return emit(df, [(F.col("_d") != "", "C6", "high", F.col("label"), F.concat(F.lit("year(s) in one language only: "), "_d"))])
 
 
 def parity_numbers(pairs: DataFrame) -> DataFrame:
-    df = _both(pairs).withColumn("_d", _one_sided(dt.bare_numbers(F.col("en")), dt.bare_numbers(F.col("fr"))))
+    df = _one_sided(pairs, dt.bare_numbers)
     return emit(df, [(F.col("_d") != "", "C6", "med", F.col("label"), F.concat(F.lit("bare number(s) in one language only: "), "_d"))])
 
 
@@ -266,7 +268,7 @@ def token_bags(units: DataFrame) -> DataFrame:
 
     A name weighs 2, or 1 when it only opens the sentence (``n2`` holds the former, ``n`` all).
     """
-    t = tx.norm(F.col("sentence"))
+    t = F.col("_norm")
     words = F.filter(F.split(t, "[^A-Za-zÀ-ÿ'’-]+"), lambda w: w != "")
     cells = F.transform(
         words,
@@ -276,30 +278,40 @@ def token_bags(units: DataFrame) -> DataFrame:
             i.alias("i"),
         ),
     )
-    cells = F.filter(cells, lambda c: F.length(c["bare"]) >= 3)
     stop = F.array(*[F.lit(w) for w in lx.STOPWORDS])
     months = F.array(*[F.lit(w) for w in lx.MONTH_WORDS])
     topics = F.array(*[F.lit(w) for w in sorted(set(lx.TOPIC_WORDS))])
-    names = F.filter(
-        cells,
+    staged = units.withColumn("_norm", tx.norm(F.col("sentence"))).withColumn(
+        "_cells", F.filter(cells, lambda c: F.length(c["bare"]) >= 3)
+    )
+    named = F.filter(
+        F.col("_cells"),
         lambda c: c["bare"].rlike("^[A-ZÀ-Ý]")
         & ~F.array_contains(months, F.lower(c["bare"]))
         & ~F.array_contains(stop, F.lower(c["bare"])),
     )
+    staged = staged.withColumn(
+        "_names",
+        F.transform(
+            named,
+            lambda c: F.struct(
+                F.concat(F.lit("N"), F.lower(tx.deaccent(c["bare"]))).alias("token"), c["i"].alias("i")
+            ),
+        ),
+    )
     dates = F.transform(dt.date_set(t), lambda d: F.format_string("D%d-%d-%d", d["y"], d["m"], d["d"]))
-
-    def name_of(c):
-        return F.concat(F.lit("N"), F.lower(tx.deaccent(c["bare"])))
-
-    return units.withColumns(
+    years = F.transform(dt.find_years(t), lambda v: F.concat(F.lit("Y"), v.cast("string")))
+    later = F.filter(F.col("_names"), lambda c: c["i"] > 0)
+    low = F.transform(F.col("_cells"), lambda c: c["low"])
+    return staged.withColumns(
         {
             "d": F.array_distinct(dates),
-            "y": F.array_distinct(F.transform(dt.find_years(t), lambda v: F.concat(F.lit("Y"), v.cast("string")))),
-            "n": F.array_distinct(F.transform(names, name_of)),
-            "n2": F.array_distinct(F.transform(F.filter(names, lambda c: c["i"] > 0), name_of)),
-            "t": F.transform(F.array_intersect(F.transform(cells, lambda c: c["low"]), topics), lambda v: F.concat(F.lit("T"), v)),
+            "y": F.array_distinct(years),
+            "n": F.array_distinct(F.transform(F.col("_names"), lambda c: c["token"])),
+            "n2": F.array_distinct(F.transform(later, lambda c: c["token"])),
+            "t": F.transform(F.array_intersect(low, topics), lambda v: F.concat(F.lit("T"), v)),
         }
-    )
+    ).drop("_norm", "_cells", "_names")
 
 
 def token_rows(bags: DataFrame, *keys: str) -> DataFrame:

@@ -8,11 +8,12 @@ database; ``ARR(`` is the only word that differs between them. Everything grows
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 from claimcheck.functions import lexicon as lx
+from claimcheck.session import cut_lineage
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -271,8 +272,6 @@ _DEPS: dict[str, list[str]] = {}
 def _deps(name: str) -> list[str]:
     """Model tables a model table reads, by name."""
     if name not in _DEPS:
-        import re
-
         _DEPS[name] = [
             m for m in MODEL if m != name and re.search(rf"\b(?:FROM|JOIN)\s+{m}\b", MODEL[name])
         ]
@@ -316,8 +315,6 @@ class Cards:
             if name in MODEL:
                 inputs = {d: self.table(d) for d in self._inputs(name)}
                 sql = MODEL[name].replace("ARR(", "array(")
-                import re
-
                 for d in inputs:
                     sql = re.sub(rf"\b(FROM|JOIN)(\s+){d}\b(?! [a-z]\b)", rf"\1\2{{{d}}} AS {d}", sql)
                     sql = re.sub(rf"\b(FROM|JOIN)(\s+){d}\b(?= [a-z]\b)", rf"\1\2{{{d}}}", sql)
@@ -328,8 +325,6 @@ class Cards:
 
     @staticmethod
     def _inputs(name: str) -> list[str]:
-        import re
-
         bases = [b for b in BASE_TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{b}\b", MODEL[name])]
         return _deps(name) + bases
 
@@ -338,6 +333,8 @@ class Cards:
             raise AttributeError(name)
         return self.table(name)
 
-    @cached_property
-    def root(self) -> str:
-        return self.folder
+    def staged(self, *names: str) -> Cards:
+        """Write model tables that a query reads many times once, instead of composing them anew."""
+        for n in names:
+            self._made[n] = cut_lineage(self.table(n))
+        return self

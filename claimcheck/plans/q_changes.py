@@ -45,6 +45,7 @@ def _after(m):
 
 
 def _diff(m):
+    m = m.staged("person")
     later = _after(m)
     return ch.snapshot_diff(ch.comparable_fields(m), ch.comparable_fields(later), m.person.select("card_key"), later.person.select("card_key"))
 

@@ -29,7 +29,7 @@ ALL = f"fnd AS ({_union(ROLL)})"
 
 
 def _findings(m):
-    return run_checks(m, ["C5", "C7"])
+    return run_checks(m.staged("person", "event"), ["C5", "C7"])
 
 
 @query("findings_rollup", "", f"""WITH {ALL} SELECT 'sev' AS facet, sev AS value, count(*) AS n FROM fnd GROUP BY sev UNION ALL SELECT 'check', "check", count(*) FROM fnd GROUP BY "check"
@@ -83,6 +83,7 @@ _PIN = "concat_ws(' ', e.t, '@', p.n, 'c=' || e.c, CASE WHEN x THEN 'x=ALT' END,
   UNION ALL SELECT card, 'anchor', 'pl[' || pos || ']', t || ': ' || d FROM event WHERE d IS NOT NULL
   UNION ALL SELECT card, 'finding', sev || '/' || "check" || ' ' || path, msg FROM chk""")
 def dossier(m):
+    m = m.staged("person", "event")
     return do.dossier(m, findings=run_checks(m, ["C5"]))
 
 
@@ -193,7 +194,7 @@ def unclosed_blocks(m):
     return pv.unclosed_blocks(m.spark.sql(_LINES.format(e="{e}"), e=m.events))
 
 
-_LBL = """CASE o_orderkey % 4 WHEN 0 THEN 'Letter to the archive from Anna ' || {s} || ', 1901' WHEN 1 THEN 'Photographed by Élise ' || {s} || ' Nord (copy)' WHEN 2 THEN 'Census of 1850 by Paul ' || {s} ELSE 'Email via Otto ' || {s} END"""
+_LBL = """CASE o_orderkey % 4 WHEN 0 THEN 'Letter to the archive from Anna ' || {s} || ' in 1901' WHEN 1 THEN 'Photographed by Élise ' || {s} || ' Nord (copy)' WHEN 2 THEN 'Census of 1850 by Paul ' || {s} ELSE 'Email via Otto ' || {s} END"""
 _SUR = "(CASE o_custkey % 3 WHEN 0 THEN 'Ardent' WHEN 1 THEN 'Bell' ELSE 'Corvane' END)"
 
 
