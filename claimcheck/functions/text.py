@@ -124,16 +124,19 @@ def is_hedged(c: Column, lang: Column) -> Column:
     """Same decision as ``hedge_hits`` without building the list: plain substring tests first,
     then one regex in which all shapes share their leading word boundary."""
 
-    def any_of(t, literals, shapes, support):
-        found = F.contains(t, F.lit(literals[0]))
-        for h in literals[1:]:
-            found = found | F.contains(t, F.lit(h))
+    def any_of(literals, shapes, support):
         tails = "|".join(f"(?:{p.removeprefix(chr(92) + 'b')})" for p in shapes)
-        return (found | rx.matches(t, rf"\b(?:{tails})")) & ~rx.matches(t, support)
 
-    t = fold(c)
-    en = any_of(t, lx.HEDGE_EN, lx.HEDGE_EN_SHAPES, lx.SUPPORTING_NEGATIVE_EN)
-    fr = any_of(t, lx.HEDGE_FR, lx.HEDGE_FR_SHAPES, lx.SUPPORTING_NEGATIVE_FR)
+        def test(t):
+            found = F.contains(t, F.lit(literals[0]))
+            for h in literals[1:]:
+                found = found | F.contains(t, F.lit(h))
+            return (found | rx.matches(t, rf"\b(?:{tails})")) & ~rx.matches(t, support)
+
+        return let(fold(c), test)
+
+    en = any_of(lx.HEDGE_EN, lx.HEDGE_EN_SHAPES, lx.SUPPORTING_NEGATIVE_EN)
+    fr = any_of(lx.HEDGE_FR, lx.HEDGE_FR_SHAPES, lx.SUPPORTING_NEGATIVE_FR)
     return F.coalesce(F.when(lang == "fr", fr).otherwise(en), F.lit(False))
 
 

@@ -165,24 +165,36 @@ def _plain(v):
     return None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v
 
 
-def _run_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Apply one block of edits in order from its known entry value."""
-    pdf = pdf.sort_values(["ord", "seq"])
-    now = _plain(pdf["entry"].iloc[0])
-    before, ok = [], []
-    for has, want, value in zip(pdf["guarded"], pdf["expect"], pdf["value"]):
-        before.append(now)
-        good = (not has) or now == _plain(want)
-        ok.append(good)
-        if good:
-            now = _plain(value)
-    out = pdf[["card", "path", "block", "ord", "seq", "value", "why"]].copy()
-    out["before"], out["ok"] = before, ok
-    return out
-
-
-def _entry_values(effects: DataFrame, current: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Entry value of every block: blocks of one field are chained, a few rows per field."""
+def _replay(good: DataFrame, entries: DataFrame) -> DataFrame:
+    """Replay every block from its entry value; a block holds at most BLOCK edits."""
+    edit = F.struct("ord", "seq", "guarded", "expect", "value", "why")
+    lists = good.groupBy("card", "path", "block").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    df = lists.join(entries, ["card", "path", "block"])
+    log = F.struct(
+        F.col("edits")[0].alias("e"), F.lit("").alias("before"), F.lit(False).alias("ok")
+    )
+    start = F.struct(F.col("entry").alias("now"), F.slice(F.array(log), 1, 0).alias("log"))
+
+    def step(acc: Column, e: Column) -> Column:
+        ok = ~e["guarded"] | acc["now"].eqNullSafe(e["expect"])
+        line = F.struct(e.alias("e"), acc["now"].alias("before"), ok.alias("ok"))
+        return F.struct(
+            F.when(ok, e["value"]).otherwise(acc["now"]).alias("now"),
+            F.array_append(acc["log"], line).alias("log"),
+        )
+
+    done = df.select("card", "path", F.inline(F.aggregate("edits", start, step, lambda a: a["log"])))
+    return done.select(
+        "card", "path", "e.ord", "e.seq", F.when(F.col("ok"), "applied").otherwise("expect mismatch").alias("status"), "before", "e.value", "e.why"
+    )
+
+
+def _entry_values(good: DataFrame, current: DataFrame) -> DataFrame:
+    """Entry value of every block: the field's text, or what the blocks before it leave.
+
+    Only fields edited more than BLOCK times have a second block; their blocks are reduced to
+    effects independently and the effects, a few rows per field, are chained.
+    """
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         now, rows = _plain(pdf["text"].iloc[0]), []
@@ -193,13 +205,19 @@ def _entry_values(effects: DataFrame, current: DataFrame, blocks: DataFrame) ->
             now = _plain(hit["exit"].iloc[0]) if len(hit) else (_plain(rest["exit"].iloc[0]) if len(rest) else now)
         return pd.DataFrame(rows, columns=["card", "path", "block", "entry"])
 
+    blocks = good.select("card", "path", "block").distinct()
     many = blocks.groupBy("card", "path").agg(F.count("*").alias("n"))
     one = blocks.join(many.where("n = 1"), ["card", "path"], "left_semi").join(current, ["card", "path"], "left").select(
         "card", "path", "block", F.col("text").alias("entry")
     )
-    more = effects.join(many.where("n > 1"), ["card", "path"], "left_semi").join(current, ["card", "path"], "left")
-    kind = dict(blocks.dtypes)["card"]
-    chained = more.groupBy("card", "path").applyInPandas(chain, f"card {kind}, path string, block string, entry string")
+    kind = dict(good.dtypes)["card"]
+    busy = good.join(many.where("n > 1"), ["card", "path"], "left_semi")
+    effects = busy.select("card", "path", "block", "ord", "seq", "guarded", "expect", "value").groupBy(
+        "card", "path", "block"
+    ).applyInPandas(_block_effect, f"card {kind}, path string, block string, entry string, exit string, rest boolean")
+    chained = effects.join(current, ["card", "path"], "left").groupBy("card", "path").applyInPandas(
+        chain, f"card {kind}, path string, block string, entry string"
+    )
     return one.unionByName(chained)
 
 
@@ -230,24 +248,8 @@ def apply_edits(edits: DataFrame, current: DataFrame, cards: DataFrame | None =
     good = e.where(F.col("known") & F.col("legal")).withColumn(
         "block", F.format_string("%08d/%08d", F.col("ord").cast("int"), F.floor(F.col("seq") / BLOCK).cast("int"))
     )
-    kind = dict(edits.dtypes)["card"]
-    effects = good.select("card", "path", "block", "ord", "seq", "guarded", "expect", "value").groupBy(
-        "card", "path", "block"
-    ).applyInPandas(_block_effect, f"card {kind}, path string, block string, entry string, exit string, rest boolean")
-    blocks = good.select("card", "path", "block").distinct()
     normal = current.select("card", "path", lf("text").alias("text"))
-    entries = _entry_values(effects, normal, blocks)
-    ord_t, seq_t = dict(edits.dtypes)["ord"], dict(edits.dtypes)["seq"]
-    done = (
-        good.join(entries, ["card", "path", "block"])
-        .select("card", "path", "block", "ord", "seq", "guarded", "expect", "value", "why", "entry")
-        .groupBy("card", "path", "block")
-        .applyInPandas(
-            _run_block,
-            f"card {kind}, path string, block string, ord {ord_t}, seq {seq_t}, value string, why string, before string, ok boolean",
-        )
-        .select("card", "path", "ord", "seq", F.when(F.col("ok"), "applied").otherwise("expect mismatch").alias("status"), "before", "value", "why")
-    )
+    done = _replay(good, _entry_values(good, normal))
     null = F.lit(None).cast("string")
     bad = e.where(~F.col("known") | ~F.col("legal")).select(
         "card", "path", "ord", "seq", F.when(~F.col("known"), "card not found").otherwise("unknown path").alias("status"),

@@ -15,7 +15,7 @@ from claimcheck.functions import regex as rx
 from claimcheck.functions import text as tx
 from claimcheck.operators import cards as cd
 from claimcheck.operators.structure import emit, s
-from claimcheck.session import small_side
+from claimcheck.session import cut_lineage, small_side
 
 
 # ------------------------------------------------------------------ typography and style
@@ -344,8 +344,9 @@ def hedge_vs_flat(fields: DataFrame) -> DataFrame:
     """
     skip = ["srclabel", "psource", "doctr", "srcquote"]
     units = cd.units(fields.where(~F.col("kind").isin(skip)))
-    bags = token_bags(units.withColumn("hedged", tx.is_hedged(F.col("sentence"), F.col("lang"))))
-    bags = bags.withColumn("keys", F.array_union("d", "n")).withColumn(
+    bags = token_bags(units).withColumn("keys", F.array_union("d", "n"))
+    bags = cut_lineage(bags.where((F.size("t") > 0) & (F.size("keys") > 0)))
+    bags = bags.withColumn("hedged", tx.is_hedged(F.col("sentence"), F.col("lang"))).withColumn(
         "short", F.col("kind").isin(lx.SHORT_KINDS)
     )
     keep = ["card", "lang", "path", "ord", "sentence", "short", "d", "y", "n", "n2", "t", "keys"]

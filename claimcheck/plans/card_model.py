@@ -13,13 +13,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from claimcheck.functions import lexicon as lx
-from claimcheck.session import cut_lineage
+from claimcheck.session import cut_lineage, spread
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# tables whose rows feed text work; the others are joined or counted as they come
+SPREAD = {"customer", "orders", "documents", "pages", "conversations"}
+
 GIVEN = ["Alba", "Bruno", "Celia", "Dario", "Elena", "Fabio", "Greta", "Hugo", "Irma", "Jonas"]
 MIDDLE = ["Aldric", "Blanca", "Corin", "Delphe", "Esmon", "Fiora", "Gaspar", "Helda", "Ivo", "Juno"]
 SURNAMES = ["Ardent", "Bellmont", "Corvane", "Dunmarch", "Estrell", "Fairlode", "Gravenor"]
@@ -320,7 +323,8 @@ class Cards:
                     sql = re.sub(rf"\b(FROM|JOIN)(\s+){d}\b(?= [a-z]\b)", rf"\1\2{{{d}}}", sql)
                 self._made[name] = self.spark.sql(sql, **inputs)
             else:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = spread(df) if name in SPREAD else df
         return self._made[name]
 
     @staticmethod

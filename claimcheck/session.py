@@ -31,6 +31,16 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if seen <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the files give fewer partitions than there are cores.
+
+    A large data set has many splits and is left as it is; one small file with one row group
+    would otherwise keep every following regex on a single core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_long(df: DataFrame, column: str) -> int:
     """A single aggregate value (never a data set) brought to the driver."""
     row = df.agg(F.max(column).alias("v")).first()
