@@ -183,7 +183,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lost = deleted_lines(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("_lost_id"), F.col("print").alias("_print"), F.col("at").alias("_at"))
     lines = F.split("text", "\n")
-    gone = F.transform("_at", lambda k: F.element_at(lines, k + 1))
+    gone = F.filter(lines, lambda line, k: F.array_contains(F.col("_at"), k))
     count = F.size(F.array_remove(F.split(F.array_join(gone, "\n"), r"[\x20\x09-\x0D]+"), ""))
     joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id")) & (F.xxhash64("text") == F.col("_print")), "left")
     kept = F.filter(lines, lambda line, k: ~F.array_contains(F.col("_at"), k))
