@@ -18,6 +18,37 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+#: The rules of the contract for URLs.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc_dictionary"] = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), q as (
+  select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from p
+), r as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as least from q
+)
+select page_id, payload_bytes, payload_digest, case when page_id > least then 'revisit' else 'response' end as record_type,
+  case when page_id > least then least end as refers_to
+from r"""
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimcheck.llm.jaccard_join import jaccard_join
@@ -31,3 +62,79 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_deleted", "words_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.mixing import label_quality, mix
+
+    docs = label_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+    return mix(docs, F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op5_mixing"] = r"""
+with l as (
+  select doc_id, max(quality) as q from labels where doc_id is not null group by doc_id
+), d as (
+  select d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    -ln((('0x' || left(md5('0:' || coalesce(d.doc_id::varchar, 'null')), 13))::bigint + 1)::double / 4503599627370497.0)
+      / case l.q when 1 then 2.0 when 0 then 0.5 else 1.0 end as key
+  from documents d left join l on l.doc_id = d.doc_id
+), s as (
+  select source, sum(size)::bigint as source_size from d group by source
+), w as (
+  select *, (row_number() over (order by source is null, source) - 1) % 3 + 1 as weight, 3.0::double * source_size as bound from s
+), r as (
+  select *, bound / weight as ratio from w
+), v as (
+  select *, (sum(source_size) over () - coalesce(sum(bound) over (order by ratio, source is null, source rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by ratio, source is null, source rows between current row and unbounded following) as level
+  from r
+), t as (
+  select *, least(bound, (max(level) filter (where level <= ratio) over ()) * weight) as target from v
+), u as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from t
+), f as (
+  select d.doc_id, d.size, u.source_size::bigint as source_size, u.target, u.epochs, u.target - u.epochs * u.source_size as rest,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.size rows between unbounded preceding and 1 preceding), 0) as earlier
+  from d join u on d.source is not distinct from u.source
+)
+select doc_id, size, source_size, target, ((epochs + case when 2 * earlier + size <= 2 * rest then 1 else 0 end) * size)::bigint as taken from f"""
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.chat import canonical_turns, format_turns, read_loss, read_turns
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "\\### Assistant: </turn> ok"
+    probe = F.explode(F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(says).alias("text")) for k, role in enumerate(("user", "assistant")))))
+    turns = turns.union(spark.range(1).select(probe.alias("p")).select("p.*"))
+    asked = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    records = turns.groupBy("conv_id").agg(F.transform(asked, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))).alias("t"))
+    two = (F.size("t") == 2) & (F.get("t", F.lit(0))["role"] == "user") & (F.get("t", F.lit(1))["role"] == "assistant")
+    pair = F.to_variant_object(F.struct(F.get("t", F.lit(0))["text"].alias("prompt"), F.get("t", F.lit(1))["text"].alias("response")))
+    chat = F.to_variant_object(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    formatted = format_turns(canonical_turns(records.select("conv_id", F.when(two, pair).otherwise(chat).alias("record")))).select("conv_id", "formatted", "mask")
+    read = formatted.withColumns({"turns": read_turns(F.col("formatted")), "loss": read_loss(F.col("formatted"), F.col("mask"))})
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op6_chat_format"] = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r, text as x from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok', 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant', '\### Assistant: </turn> ok'
+), e as (
+  select *, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\#<\n]', '', 'g')) + 14 as chars from c
+), g as (
+  select conv_id, count(*) as n_turns, sum(chars)::bigint as formatted_chars,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r nulls first, x nulls first) as lines,
+    coalesce(string_agg(text, '' order by turn nulls first, r nulls first, x nulls first) filter (where role = 'assistant'), '') as loss
+  from e group by conv_id
+)
+select conv_id, n_turns, sha256(lines) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g"""
