@@ -138,3 +138,67 @@ with c as (
   from e group by conv_id
 )
 select conv_id, n_turns, sha256(lines) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g"""
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.decontaminate import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op8_decontamination"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), i as (
+  select distinct item_id, least(len(w), 13) as size, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda k: array_to_string(w[k:k + least(len(w), 13) - 1], ' '))) as win
+  from b where len(w) > 0
+), z as (select distinct size from i), g as (
+  select doc_id, z.size, k as pos, array_to_string(w[k:k + z.size - 1], ' ') as win
+  from d, z, unnest(range(1, len(w) - z.size + 2)) as u(k)
+), m as (
+  select g.doc_id, g.pos, g.size, i.item_id from g join i on i.size = g.size and i.win = g.win
+), h as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(pos, pos + size)) as p from m) group by doc_id
+), t as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from m group by doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id"""
+
+
+@query
+def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.quality import quality_rules
+
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op10_quality_cascade"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), l as (
+  select doc_id, text, w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
+), g as (
+  select doc_id, k, array_to_string(w[k:k + 7], ' ') as win from d, unnest(range(1, len(w) - 6)) as u(k)
+), r as (
+  select doc_id, k from (select *, count(*) over (partition by doc_id, win) as c from g) where c > 1
+), c as (
+  select doc_id, count(distinct p) as n from (select doc_id, unnest(range(k, k + 8)) as p from r) group by doc_id
+), m as (
+  select l.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(lines) as n_lines,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+    len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) as stutter
+  from l left join c on c.doc_id = l.doc_id
+), v as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 100 * n_symbols > 30 * n_words or word_chars < 2 * n_words or word_chars > 14 * n_words or 2 * n_dup_lines > n_lines or 100 * stutter > 30 * n_words) as kept
+from v"""
