@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import cut
+from claimcheck.llm.common import WORD, cut
 from claimcheck.llm.components import components
 
 #: Shingles are counted within runs of so many; a shingle in two documents of one run is reported to the global count.
@@ -72,9 +72,9 @@ def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         token, seen = np.unique(np.concatenate(run), return_counts=True) if run else (np.empty(0, np.uint64), np.empty(0, int))
         token, seen = token[seen > 1].view(np.int64), seen[seen > 1]
         none = pa.nulls(len(token))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(token), pa.array(seen, pa.int32())], names)
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(token), pa.array(seen, pa.int32())], names)
 
-    names = ["doc_id", "n", "node", "token", "seen"]
+    names = ["doc_id", "print", "n", "node", "token", "seen"]
     for batch in batches:
         sizes, keys = [], []
         for text in batch.column(1):
@@ -89,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                 yield shared()
                 run, held, nodes = [], 0, set()
         none = pa.nulls(len(sizes))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32())], names)
     yield shared()
 
 
@@ -234,8 +234,10 @@ def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(F.lit(percent) * n / F.lit(100)) + 1
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Similarity = Similarity()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
+def jaccard_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """(doc_id, print, n_shingles, root, component_id) for each row of docs (doc_id, text).
+
+    print is the text's hash; root is the same for all rows of a component and null for rows without shingles.
 
     Equal sets become one node. Shingles are put into one order, frequent ones last; a linked pair shares shingles of
     both prefixes in it. Short inverted lists give pairs, which must share as many prefix shingles as a linked pair does
@@ -248,9 +250,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (null if there is no other). Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = cut(docs.mapInArrow(lambda it: _count(it, how.size), "doc_id long, n int, node long, token long, seen int"))
-    base = counted.where("n is not null").select("doc_id", "n", "node")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    counted = cut(docs.mapInArrow(lambda it: _count(it, how.size), "doc_id long, print long, n int, node long, token long, seen int"))
+    base = counted.where("n is not null").select("doc_id", "print", "n", "node")
     nodes = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     top = counted.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 3").orderBy(F.desc("seen"), "token").limit(COUNTED).toPandas().sort_values("token")
     token, seen = (spark.sparkContext.broadcast(top[c].to_numpy(np.int64)) for c in ("token", "seen"))
@@ -303,12 +305,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(verified.union(met_in_blocks))
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
+    of_node = named.join(least, "root").select("node", "root", "component_id")
     return base.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "print", F.col("n").cast("long").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def jaccard_join(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs, by jaccard_groups."""
+    return jaccard_groups(docs, how).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """docs with one row of each component: that with the least doc_id, null last; of rows equal in id and text one.
+
+    Rows without words belong to no group and stay.
+    """
+    groups = jaccard_groups(docs, how).where("root is not null")
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.print").alias("_print"))
+    worded = F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False))
+    keyed = docs.where(worded).withColumn("_own", F.xxhash64("text"))
+    rows = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_own"]).drop("_own").union(docs.where(~worded))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     cache = _WordHashes()
     for batch in batches:

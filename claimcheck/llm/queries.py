@@ -202,3 +202,17 @@ with d as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 100 * n_symbols > 30 * n_words or word_chars < 2 * n_words or word_chars > 14 * n_words or 2 * n_dup_lines > n_lines or 100 * stutter > 30 * n_words) as kept
 from v"""
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
