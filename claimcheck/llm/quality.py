@@ -40,23 +40,26 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     Windows of 8 words are hashed; only where two of a text are equal are they put in order, and the words that repeated
     windows cover are counted from the sorted positions. A null text counts as empty: every number is 0.
     """
-    found = docs.withColumn("_words", words(F.col(text)))
+    parts = _once(docs, _words=words(F.col(text)), _lines=F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     starts = F.sequence(F.lit(1), F.size("_words") - WINDOW + 1)
     windows = F.when(F.size("_words") > WINDOW, F.transform(starts, lambda k: F.xxhash64(F.slice("_words", k, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    found = found.withColumns({"_windows": windows, "_lines": lines})
-    return found.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0)).otherwise(_covered(F.col("_windows"))).cast("long"),
-        }
+    repeats = F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0)).otherwise(_covered(F.col("_windows")))
+    return _once(
+        _once(parts, _windows=windows),
+        n_words=F.size("_words").cast("long"),
+        word_chars=F.length(F.array_join("_words", "")).cast("long"),
+        n_symbols=F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long"),
+        n_lines=F.size("_lines").cast("long"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_repeat_words=repeats.cast("long"),
     ).drop("_windows", "_lines")
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are computed once; a later filter on them is not moved before them and computed again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def _covered(windows: Column) -> Column:
     """Number of words under the windows whose hash occurs more than once."""
     at = F.array_sort(F.transform(windows, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
