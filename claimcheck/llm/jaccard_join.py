@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import WORD, cut
+from claimcheck.llm.common import WORD, stored
 from claimcheck.llm.components import components
 
 #: Shingles are counted within runs of so many; a shingle in two documents of one run is reported to the global count.
@@ -24,6 +24,8 @@ SHORT_LIST = 32
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 #: Width of a class of set sizes, a little over 4/3 so that linked sets are in the same or neighbouring classes.
 CLASS_WIDTH = 1.001
+#: Bits of the filter that keeps texts from being read as sets when nothing asks for them (1 MB; full, it keeps none out).
+FILTER_BITS = 1 << 23
 
 
 class Similarity(NamedTuple):
@@ -251,31 +253,31 @@ def jaccard_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
-    counted = cut(docs.mapInArrow(lambda it: _count(it, how.size), "doc_id long, print long, n int, node long, token long, seen int"))
+    counted = stored(docs.mapInArrow(lambda it: _count(it, how.size), "doc_id long, print long, n int, node long, token long, seen int"))
     base = counted.where("n is not null").select("doc_id", "print", "n", "node")
     nodes = base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     top = counted.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 3").orderBy(F.desc("seen"), "token").limit(COUNTED).toPandas().sort_values("token")
     token, seen = (spark.sparkContext.broadcast(top[c].to_numpy(np.int64)) for c in ("token", "seen"))
 
-    prefixes = cut(docs.mapInArrow(lambda it: _prefixes(it, how, token.value, seen.value), "node long, n int, rare array<long>, frequent array<long>, home long"))
+    prefixes = stored(docs.mapInArrow(lambda it: _prefixes(it, how, token.value, seen.value), "node long, n int, rare array<long>, frequent array<long>, home long"))
     lists = (
         prefixes.select("node", "n", F.posexplode("rare").alias("at", "token"))
         .select("token", "n", "node", "at")
         .repartition("token")
         .sortWithinPartitions("token", "n", "node")
     )
-    met = cut(lists.mapInArrow(lambda it: _short_lists(it, how), "a long, b long, na int, nb int, shared int, open boolean"))
+    met = stored(lists.mapInArrow(lambda it: _short_lists(it, how), "a long, b long, na int, nb int, shared int, open boolean"))
     summed = met.where("nb is not null").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("open").alias("open"))
     need = _needed_overlap(F.col("na"), F.col("nb"), how.percent)
     room = F.least(_prefix_length(F.col("na"), how.percent) - F.col("na") + need, _prefix_length(F.col("nb"), how.percent) - F.col("nb") + need)
-    pairs = cut(summed.where(F.col("open") & (F.col("shared") >= room)).select("a", "b", "na", "nb"))
+    pairs = stored(summed.where(F.col("open") & (F.col("shared") >= room)).select("a", "b", "na", "nb"))
 
     longer = met.where("nb is null").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n"), F.lit(None).cast("long").alias("home"))
-    frequent = cut(prefixes.select(F.explode("frequent").alias("token"), "node", "n", "home").union(longer).distinct())
+    frequent = stored(prefixes.select(F.explode("frequent").alias("token"), "node", "n", "home").union(longer).distinct())
     members = frequent.groupBy("node").agg(F.coalesce(F.max("home"), F.min("token")).alias("home"), F.max("n").alias("n"))
     members = members.withColumn("size_class", F.floor(F.log(F.col("n")) / F.lit(CLASS_WIDTH * float(np.log(100 / how.percent)))))
     parts = members.groupBy("home", "size_class").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    members = cut(
+    members = stored(
         members.join(parts, ["home", "size_class"])
         .select("node", "n", "size_class", F.xxhash64("home", "size_class", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
     )
@@ -286,11 +288,16 @@ def jaccard_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
         .select(F.xxhash64("block", "block_b").alias("meeting"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
     )
 
-    wanted = cut(
+    wanted = stored(
         pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("wanted"))
     )
-    texts = docs.join(wanted.select("wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = cut(texts.mapInArrow(lambda it: _sets(it, how.size), "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = wanted.select(F.pmod(F.xxhash64("wanted"), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    asked = np.zeros(FILTER_BITS // 64, np.int64)
+    asked[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    asked = spark.sparkContext.broadcast(asked.view(np.uint64))
+    read = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(lambda it: _sets(it, how.size, asked.value), "node long, shingles array<long>")
+    sets = stored(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
     verified = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -329,11 +336,14 @@ def one_of_each_group(docs: DataFrame, how: Similarity = Similarity()) -> DataFr
     return rows.dropDuplicates(["doc_id", "_own"]).drop("_own").union(docs.where(~worded))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sets of documents that the filter lets through; a set once from each batch."""
     cache = _WordHashes()
     for batch in batches:
-        sets = [x for x in (shingle_set(text.as_py(), size, cache) for text in batch.column(1)) if len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+        bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+        through = np.flatnonzero((asked[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+        sets = {_node(x): x.view(np.int64) for x in (shingle_set(batch.column(1)[int(k)].as_py(), size, cache) for k in through) if len(x)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def _join_blocks(group, percent: int):
