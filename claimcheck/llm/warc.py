@@ -111,20 +111,25 @@ def parse(record: bytes) -> tuple:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterator[pa.RecordBatch]:
-    """Writes archives; gives their paths. An attempt writes under its own name, so a lost or repeated one does no harm."""
+    """Writes archives; gives their paths.
+
+    A repeated attempt makes the same archives of its sorted rows. It writes under a name of its own and then takes the
+    archive's, so a lost or doubled attempt does no harm.
+    """
     from pyspark import TaskContext
 
     task = TaskContext.get()
     files, root = pyarrow.fs.FileSystem.from_uri(folder)
-    files.create_dir(root)
     records, held, n = [], 0, 0
 
     def seal() -> pa.RecordBatch:
         nonlocal records, held, n
-        name = f"{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.warc.zst"
+        name = f"{task.partitionId():06d}-{n:04d}.warc.zst"
         data = pack(records)
-        with files.open_output_stream(f"{root}/{name}", compression=None) as out:
+        draft = f"{root}/_{name}-{task.taskAttemptId()}"
+        with files.open_output_stream(draft, compression=None) as out:
             out.write(data)
+        files.move(draft, f"{root}/{name}")
         row = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(records)]), pa.array([len(data)])], ["path", "records", "bytes"])
         records, held, n = [], 0, n + 1
         return row
@@ -154,20 +159,20 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     return found.select("page_id", "url", "html", "payload_digest", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("least")), F.col("least")).alias("response_id"))
 
 
-def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> list[str]:
-    """Writes a record for each row of pages (page_id, url, html) into archives under folder; returns the archives' paths.
+def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes a record for each row of pages (page_id, url, html) into archives (*.warc.zst) under folder.
 
     A null html is an empty payload, a null page_id or url leaves its field out; an empty table gives no archive. Other
-    columns are ignored. The folder is one that all executors can write to.
+    columns are ignored. The folder is a URI that all executors can write to.
     """
-    written = with_revisits(pages).mapInArrow(lambda it: _write(it, folder, date), WRITTEN)
-    return sorted(r["path"] for r in written.select("path").toLocalIterator())
+    files, root = pyarrow.fs.FileSystem.from_uri(folder)
+    files.create_dir(root)
+    ordered = with_revisits(pages).sortWithinPartitions("page_id", "url", "payload_digest")
+    ordered.mapInArrow(lambda it: _write(it, folder, date), WRITTEN).write.format("noop").mode("overwrite").save()
 
 
-def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row for each record of the archives. Responses are checked against their digest; revisits have no payload."""
-    if not paths:
-        return spark.createDataFrame([], READ)
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each record of the folder's archives. Responses are checked against their digest; revisits have no payload."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
@@ -184,7 +189,7 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
                 if some:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(rows, READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(rows, READ)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -193,4 +198,5 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame
     folder = folder or new_folder(spark, "warc")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{os.path.abspath(folder)}"
-    return read_warc(spark, write_warc(pages, folder))
+    write_warc(pages, folder)
+    return read_warc(spark, folder)
