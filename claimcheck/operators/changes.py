@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimcheck.operators.tree import earlier_sum
+from claimcheck.session import cut_lineage, one_long
 
 
 # ------------------------------------------------------------------ snapshots
@@ -79,6 +80,7 @@ def snapshot_diff(
 ) -> DataFrame:
     """Cards added and removed, and per field the before and after values.
 
+    A key stands for one card here: where several share it, keep the last with ``latest_by_key`` first.
     ``before``/``after`` are (card_key, field, value), read once each: both sides are stacked and
     reduced by field. A card on one side only gives one row, not one per field; the key tables
     save a second pass over the fields when the caller has them.
@@ -133,127 +135,90 @@ PATHS = (
     r"|docs\[\d+\]\.(?:cap|cap_fr|tr|tr_fr|u)|src\[\d+\]\.(?:l|u|q)"
     r"|(?:profile\.sources|psrc)\[\d+\]\.(?:label|label_fr|url))$"
 )
-BLOCK = 4096
-_OTHER = object()
+# Parts of a card that only a card with a profile has.
+PROFILE_PARTS = r"^(?:profile\.|bio(?:_fr)?\[|psrc\[|docs\[)"
+# What a field holds before any edit counts as an edit at this place.
+START = "named_struct('ord', cast(-2147483648 as int), 'seq', -1L)"
 
 
-def _block_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What a block of edits does to a field, as a table entry value -> exit value.
+def canonical_path(path: Column) -> Column:
+    """One spelling for a leaf that edits may address in two ways."""
+    path = F.regexp_replace(path, r"^headline(_fr)?$", "profile.headline$1")
+    return F.regexp_replace(path, r"^profile\.sources\[", "psrc[")
 
-    Folding backwards: an edit "a becomes b" sends a to wherever the later edits send b. Values
-    not listed pass through, unless an unconditional edit fixed the result for all of them.
-    """
-    pdf = pdf.sort_values(["ord", "seq"])
-    effect, fallback = {}, _OTHER
-    for has, want, value in zip(pdf["guarded"][::-1], pdf["expect"][::-1], pdf["value"][::-1]):
-        value, want = _plain(value), _plain(want)
-        later = effect[value] if value in effect else (value if fallback is _OTHER else fallback)
-        if has:
-            effect[want] = later
-        else:
-            effect, fallback = {}, later
-    rows = [(k, v, False) for k, v in effect.items()]
-    if fallback is not _OTHER:
-        rows.append((None, fallback, True))
-    out = pd.DataFrame(rows, columns=["entry", "exit", "rest"])
-    for c in ("card", "path", "block"):
-        out[c] = pdf[c].iloc[0]
-    return out[["card", "path", "block", "entry", "exit", "rest"]]
-
-
-def _plain(v):
-    return None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v
-
-
-def _replay(good: DataFrame, entries: DataFrame) -> DataFrame:
-    """Replay every block from its entry value; a block holds at most BLOCK edits."""
-    edit = F.struct("ord", "seq", "guarded", "expect", "value", "why")
-    lists = good.groupBy("card", "path", "block").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
-    df = lists.join(entries, ["card", "path", "block"])
-    log = F.struct(
-        F.col("edits")[0].alias("e"), F.lit("").alias("before"), F.lit(False).alias("ok")
-    )
-    start = F.struct(F.col("entry").alias("now"), F.slice(F.array(log), 1, 0).alias("log"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ok = ~e["guarded"] | acc["now"].eqNullSafe(e["expect"])
-        line = F.struct(e.alias("e"), acc["now"].alias("before"), ok.alias("ok"))
-        return F.struct(
-            F.when(ok, e["value"]).otherwise(acc["now"]).alias("now"),
-            F.array_append(acc["log"], line).alias("log"),
-        )
 
-    done = df.select("card", "path", F.inline(F.aggregate("edits", start, step, lambda a: a["log"])))
-    return done.select(
-        "card", "path", "e.ord", "e.seq", F.when(F.col("ok"), "applied").otherwise("expect mismatch").alias("status"), "before", "e.value", "e.why"
-    )
+def _tag(text: Column) -> Column:
+    """A text as a key that tells null from every text."""
+    return F.coalesce(F.concat(F.lit("="), text), F.lit("null"))
 
 
-def _entry_values(good: DataFrame, current: DataFrame) -> DataFrame:
-    """Entry value of every block: the field's text, or what the blocks before it leave.
+def _next_applied(edits: DataFrame) -> DataFrame:
+    """edits with ``next``: the edit of the same field that is applied next if this one is.
 
-    Only fields edited more than BLOCK times have a second block; their blocks are reduced to
-    effects independently and the effects, a few rows per field, are chained.
+    It is the nearest later one without guard, or whose guard is the value that this one leaves.
     """
+    later = W.partitionBy("card", "path").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1)
+    free = edits.withColumn("free", F.last(F.when(~F.col("guarded"), F.col("at")), ignorenulls=True).over(later))
+    gives = free.select("card", "path", "at", _tag(F.col("value")).alias("key"), F.lit(0).alias("want"), "free")
+    wants = edits.where("guarded").select("card", "path", "at", _tag(F.col("expect")).alias("key"), F.lit(1).alias("want"), F.lit(None).cast(dict(edits.dtypes)["at"]).alias("free"))
+    same = W.partitionBy("card", "path", "key").orderBy(F.desc("at"), "want").rowsBetween(W.unboundedPreceding, -1)
+    met = gives.unionByName(wants).withColumn("match", F.last(F.when(F.col("want") == 1, F.col("at")), ignorenulls=True).over(same))
+    return met.where("want = 0").select("card", "path", "at", F.least("free", "match").alias("next"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, rows = _plain(pdf["text"].iloc[0]), []
-        for block, part in pdf.groupby("block", sort=True):
-            rows.append((pdf["card"].iloc[0], pdf["path"].iloc[0], block, now))
-            hit = part[(~part["rest"]) & (part["entry"].map(_plain) == now)]
-            rest = part[part["rest"]]
-            now = _plain(hit["exit"].iloc[0]) if len(hit) else (_plain(rest["exit"].iloc[0]) if len(rest) else now)
-        return pd.DataFrame(rows, columns=["card", "path", "block", "entry"])
-
-    blocks = good.select("card", "path", "block").distinct()
-    many = blocks.groupBy("card", "path").agg(F.count("*").alias("n"))
-    one = blocks.join(many.where("n = 1"), ["card", "path"], "left_semi").join(current, ["card", "path"], "left").select(
-        "card", "path", "block", F.col("text").alias("entry")
-    )
-    kind = dict(good.dtypes)["card"]
-    busy = good.join(many.where("n > 1"), ["card", "path"], "left_semi")
-    effects = busy.select("card", "path", "block", "ord", "seq", "guarded", "expect", "value").groupBy(
-        "card", "path", "block"
-    ).applyInPandas(_block_effect, f"card {kind}, path string, block string, entry string, exit string, rest boolean")
-    chained = effects.join(current, ["card", "path"], "left").groupBy("card", "path").applyInPandas(
-        chain, f"card {kind}, path string, block string, entry string"
-    )
-    return one.unionByName(chained)
+
+def _applied(edits: DataFrame) -> DataFrame:
+    """(card, path, at) of the edits that are applied: what the pointers of ``_next_applied`` reach from the start.
+
+    Pointers are doubled, so log2(edits of a field) rounds of equi-joins find the chain of a field of any length.
+    """
+    longest = one_long(edits.groupBy("card", "path").agg(F.count("*").alias("n")), "n")
+    hops = cut_lineage(_next_applied(edits))
+    reached = hops.where(F.col("at") == F.expr(START)).select("card", "path", "at")
+    for _ in range(max(1, longest).bit_length()):
+        target = hops.select("card", "path", F.col("at").alias("next"), F.col("next").alias("over"))
+        reached = cut_lineage(reached.union(hops.join(reached, ["card", "path", "at"], "left_semi").where("next is not null").select("card", "path", F.col("next").alias("at"))).distinct())
+        hops = cut_lineage(hops.where("next is not null").join(target, ["card", "path", "next"]).select("card", "path", "at", F.col("over").alias("next")))
+    return reached
 
 
 def apply_edits(edits: DataFrame, current: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """Compare-and-set: every edit's outcome, later edits seeing earlier ones.
 
-    ``edits`` is (card, path, ord, seq, expect, value, why); ``expect`` null means the edit is
-    unconditional unless a boolean ``guarded`` column says otherwise. ``current`` is (card, path,
-    text) and ``cards`` the known cards. Edits of one field are cut into blocks: each block is
-    reduced to its effect on its own, the few effects of a field are chained, and every block is
-    then replayed from its entry value, so one heavily edited field is spread over many tasks.
+    ``edits`` is (card, path, ord, seq, expect, value, why), (ord, seq) unique in a field; ``expect``
+    null means the edit is unconditional unless a boolean ``guarded`` column says otherwise: then it
+    asks for an absent field. A null value deletes. ``current`` is (card, path, text) and ``cards``
+    the known cards. Paths come out in canonical spelling. Elements of lists must be there, and parts
+    of a profile need a card that has one.
     """
+
     def lf(c):
         return F.regexp_replace(c, "\r\n", "\n")
 
     guarded = F.col("guarded") if "guarded" in edits.columns else F.col("expect").isNotNull()
-    e = edits.withColumns({"guarded": guarded, "expect": lf("expect"), "legal": F.col("path").rlike(PATHS)})
+    e = edits.withColumns({"guarded": guarded, "expect": lf("expect"), "legal": F.col("path").rlike(PATHS), "path": canonical_path(F.col("path"))})
+    current = current.select("card", canonical_path(F.col("path")).alias("path"), lf("text").alias("text"))
     cards = cards if cards is not None else current.select("card")
     known = cards.select("card").distinct().withColumn("known", F.lit(True))
-    e = e.join(known, "card", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    parent = F.regexp_extract("path", r"^(\w+(?:\.\w+)?\[\d+\])", 1)
-    held = current.select("card", F.regexp_extract("path", r"^(\w+(?:\.\w+)?\[\d+\])", 1).alias("parent")).where("parent <> ''").distinct()
-    needs = e.withColumn("parent", F.when(F.col("path").rlike(r"^bio"), "").otherwise(parent))
-    held = held.withColumn("has_parent", F.lit(True))
-    e = needs.join(held, ["card", "parent"], "left").withColumn(
-        "legal", F.col("legal") & ((F.col("parent") == "") | F.coalesce("has_parent", F.lit(False)))
-    ).drop("parent", "has_parent")
-    good = e.where(F.col("known") & F.col("legal")).withColumn(
-        "block", F.format_string("%08d/%08d", F.col("ord").cast("int"), F.floor(F.col("seq") / BLOCK).cast("int"))
+    element = F.regexp_extract("path", r"^(\w+(?:\.\w+)?\[\d+\])", 1)
+    held = current.select("card", element.alias("parent")).where("parent <> ''").distinct().withColumn("has_parent", F.lit(True))
+    profiles = current.where(F.col("path").rlike(PROFILE_PARTS)).select("card").distinct().withColumn("has_profile", F.lit(True))
+    e = e.withColumn("parent", F.when(F.col("path").rlike(r"^bio"), "").otherwise(element))
+    e = e.join(known, "card", "left").join(held, ["card", "parent"], "left").join(profiles, "card", "left")
+    fits = (F.col("parent") == "") | F.coalesce("has_parent", F.lit(False))
+    fits = fits & (~F.col("path").rlike(PROFILE_PARTS) | F.coalesce("has_profile", F.lit(False)))
+    e = e.withColumns({"known": F.coalesce("known", F.lit(False)), "legal": F.col("legal") & fits})
+    good = e.where(F.col("known") & F.col("legal")).select(
+        "card", "path", F.struct(F.col("ord").cast("int").alias("ord"), F.col("seq").cast("long").alias("seq")).alias("at"), "ord", "seq", "guarded", "expect", "value", "why"
     )
-    normal = current.select("card", "path", lf("text").alias("text"))
-    done = _replay(good, _entry_values(good, normal))
-    null = F.lit(None).cast("string")
+    start = good.select("card", "path").distinct().join(current, ["card", "path"], "left").select("card", "path", F.expr(START).alias("at"), F.lit(False).alias("guarded"), F.lit(None).cast("string").alias("expect"), F.col("text").alias("value"))
+    applied = _applied(start.unionByName(good.select(*start.columns))).withColumn("applied", F.lit(True))
+    states = start.unionByName(good, allowMissingColumns=True).join(applied, ["card", "path", "at"], "left")
+    before = W.partitionBy("card", "path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    states = states.withColumn("state", F.last(F.when(F.col("applied"), F.struct("value")), ignorenulls=True).over(before)).where(F.col("at") != F.expr(START))
+    done = states.select("card", "path", "ord", "seq", F.when(F.col("applied"), "applied").otherwise("expect mismatch").alias("status"), F.col("state.value").alias("before"), "value", "why")
     bad = e.where(~F.col("known") | ~F.col("legal")).select(
         "card", "path", "ord", "seq", F.when(~F.col("known"), "card not found").otherwise("unknown path").alias("status"),
-        null.alias("before"), "value", "why",
+        F.lit(None).cast("string").alias("before"), "value", "why",
     )
     return done.unionByName(bad)
 
@@ -266,7 +231,7 @@ def merged_fields(current: DataFrame, outcome: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("ord", "seq", "value")).alias("l"))
         .select("card", "path", F.lit(True).alias("edited"), F.col("l.value").alias("value"))
     )
-    out = current.join(last, ["card", "path"], "full_outer")
+    out = current.withColumn("path", canonical_path(F.col("path"))).join(last, ["card", "path"], "full_outer")
     text = F.when(F.coalesce("edited", F.lit(False)), F.col("value")).otherwise(F.col("text"))
     return out.select("card", "path", text.alias("text")).where(F.col("text").isNotNull())
 
@@ -314,7 +279,7 @@ def merge_places(place: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFra
 
 def edit_history(edits: DataFrame, batches: DataFrame) -> DataFrame:
     """Every edit of the known batches in order, with its reason and kind of change."""
-    df = edits.join(F.broadcast(batches), "batch")
+    df = edits.join(batches, "batch")
     change = (
         F.when(F.col("expect").isNotNull(), F.concat(F.lit("- "), "expect", F.lit(" + "), F.coalesce("value", F.lit("null"))))
         .otherwise(F.concat(F.lit("+ "), F.coalesce("value", F.lit("null")), F.lit("   (field did not exist)")))

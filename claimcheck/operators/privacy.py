@@ -68,19 +68,31 @@ def label_names(labels: DataFrame, column: str = "label") -> DataFrame:
     ).distinct()
 
 
+def _numbered(runs: Column, n: int) -> Column:
+    return F.transform(runs, lambda r: F.concat(F.lit(f"{n} "), r))
+
+
+# Words of an index entry that a text must hold before the whole entry is looked for.
+LEAD = 6
+
+
 def leak_scan(texts: DataFrame, key: str, column: str, index: DataFrame) -> DataFrame:
     """Index entries that occur in a text: (key, token, tier).
 
-    Texts are cut into word runs of exactly the lengths the index holds (a handful of numbers,
-    the only values brought to the driver), which meet the index by equality.
+    An entry and a text meet on the entry's first words, at most ``LEAD`` of them, by equality; the
+    whole entry is then looked for in the text's words. So the number of passes over the texts does
+    not depend on the lengths of the entries.
     """
-    size = F.size(F.split("token", " "))
-    entries = index.select("token", "tier", size.alias("size"))
-    sizes = [r["size"] for r in entries.select("size").distinct().collect()]
+    words = F.split("token", " ")
+    entries = index.select("token", "tier", F.least(F.size(words), F.lit(LEAD)).alias("n"), F.array_join(F.slice(words, 1, LEAD), " ").alias("lead"))
     staged = texts.select(key, letters(F.col(column)).alias("_words"))
-    runs = [word_runs(F.col("_words"), n) for n in sorted(sizes)] or [F.array().cast("array<string>")]
-    cut = staged.select(key, F.explode(F.flatten(F.array(*runs))).alias("token"))
-    return cut.join(small_side(entries.drop("size")), "token").select(key, "token", "tier").distinct()
+    runs = F.flatten(F.array(*[_numbered(word_runs(F.col("_words"), n), n) for n in range(1, LEAD + 1)]))
+    leads = staged.select(key, F.explode(F.array_distinct(runs)).alias("lead"))
+    met = leads.join(small_side(entries.select("token", "tier", F.concat_ws(" ", F.col("n").cast("string"), "lead").alias("lead"))), "lead").select(key, "token", "tier").distinct()
+    short = met.where(F.size(words) <= LEAD)
+    long = met.where(F.size(words) > LEAD).join(staged, key)
+    found = F.contains(F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")), F.concat(F.lit(" "), "token", F.lit(" ")))
+    return short.unionByName(long.where(found).select(key, "token", "tier")).distinct()
 
 
 def message_leak(messages: DataFrame, keys: list[str], column: str, tokens: DataFrame) -> DataFrame:

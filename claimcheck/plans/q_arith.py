@@ -45,17 +45,14 @@ def julian_weekday(m):
     return t.select("o_orderkey", g.cast("bigint").alias("greg"), u.cast("bigint").alias("jul"), era.alias("era_weekday"))
 
 
-@query("full_years", "", "SELECT l_orderkey, l_linenumber, CAST(datesub('year', CAST(o_orderdate AS DATE), CAST(l_shipdate + INTERVAL 20 YEAR AS DATE)) AS INT) AS years FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29) AND NOT (month(l_shipdate) = 2 AND day(l_shipdate) = 29)")
+@query("full_years", "", """SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) + 20 - year(o_orderdate) - CASE WHEN month(l_shipdate) * 100 + day(l_shipdate) < month(o_orderdate) * 100 + day(o_orderdate) THEN 1 ELSE 0 END AS INT) AS years
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def full_years(m):
     df = m.lineitem.join(m.orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def ymd(c, plus=0):
         return F.struct((F.year(c) + plus).alias("y"), F.month(c).alias("m"), F.dayofmonth(c).alias("d"))
 
-    def leap(c):
-        return (F.month(c) == 2) & (F.dayofmonth(c) == 29)
-
-    df = df.where(~leap("o_orderdate") & ~leap("l_shipdate"))
     return df.select("l_orderkey", "l_linenumber", dt.full_years(ymd("o_orderdate"), ymd("l_shipdate", 20)).alias("years"))
 
 

@@ -23,13 +23,14 @@ SNAP = """snap AS (
   UNION ALL SELECT card, 'docs[' || pos || '].cap', cap FROM doc UNION ALL SELECT card, 'docs[' || pos || '].cap_fr', cap_fr FROM doc UNION ALL SELECT card, 'docs[' || pos || '].tr', tr FROM doc UNION ALL SELECT card, 'docs[' || pos || '].tr_fr', tr_fr FROM doc UNION ALL SELECT card, 'docs[' || pos || '].u', u FROM doc
   UNION ALL SELECT card, 'docs[' || pos || '].img.len', CAST(length(img) AS VARCHAR) FROM doc
   UNION ALL SELECT card, 'union[' || union_idx || '].s', s FROM union_ UNION ALL SELECT card, 'union[' || union_idx || '].sy', sy FROM union_ UNION ALL SELECT card, 'union[' || union_idx || '].n', n FROM union_ UNION ALL SELECT card, 'union[' || union_idx || '].n_fr', n_fr FROM union_
+  UNION ALL SELECT card, 'pl[' || pos || ']', '{' || array_to_string(list_filter(['"k":' || k, '"t":"' || t || '"', '"c":"' || c || '"', '"y":' || y, '"y2":' || y2, '"d":"' || d || '"', '"x":' || x], lambda v: v IS NOT NULL), ',') || '}' FROM event
   UNION ALL SELECT card, 'pl[' || pos || '].w', w FROM event UNION ALL SELECT card, 'pl[' || pos || '].w_fr', w_fr FROM event),
   sv AS (SELECT snap.*, p.card_key FROM snap JOIN person p ON snap.card = p.card WHERE value IS NOT NULL)"""
 
 
 @query("comparable_fields", FN, f"WITH {SNAP} SELECT card_key, field, value FROM sv")
 def comparable_fields(m):
-    return ch.comparable_fields(m).where(~F.col("field").rlike(r"^pl\[\d+\]$"))
+    return ch.comparable_fields(m)
 
 
 def _after(m):
@@ -44,29 +45,45 @@ def _after(m):
     return SimpleNamespace(person=p.unionByName(new.select(*p.columns)), source=m.source, doc=m.doc, union_=m.union_, event=m.event)
 
 
+def _last(t):
+    """A snapshot in which each key stands for one card, the last, and the keys that several cards had."""
+    person, repeated = ch.latest_by_key(t.person)
+    return SimpleNamespace(person=person, source=t.source, doc=t.doc, union_=t.union_, event=t.event), repeated
+
+
 def _diff(m):
     m = m.staged("person")
-    later = _after(m)
-    return ch.snapshot_diff(ch.comparable_fields(m), ch.comparable_fields(later), m.person.select("card_key"), later.person.select("card_key"))
+    (before, _), (after, _) = _last(m), _last(_after(m))
+    return ch.snapshot_diff(ch.comparable_fields(before), ch.comparable_fields(after), before.person.select("card_key"), after.person.select("card_key"))
+
 
+DIFF = f"""{SNAP}, kb AS (SELECT card_key, max(card) AS card FROM person GROUP BY card_key),
+  pa AS (SELECT card, card_key FROM person WHERE card % 101 <> 3 UNION ALL SELECT -card, 'New ' || card_key FROM person WHERE card % 200 = 1),
+  ka AS (SELECT card_key, max(card) AS card FROM pa GROUP BY card_key),
+  fa AS (SELECT ka.card_key, field, CASE WHEN field = 'note' AND s.card % 50 = 7 THEN value || ' Corrected.' ELSE value END AS value FROM ka JOIN snap s ON s.card = ka.card WHERE NOT (field = 'mn' AND s.card % 70 = 9) AND NOT (field = 'g' AND s.card % 90 = 11)
+    UNION ALL SELECT card_key, 'mn', 'Added later.' FROM ka WHERE card % 70 = 9),
+  fb AS (SELECT kb.card_key, field, value FROM kb JOIN snap s ON s.card = kb.card),
+  diff AS (SELECT card_key, 'REMOVED' AS kind, NULL AS field, NULL AS before, NULL AS after FROM kb WHERE card_key NOT IN (SELECT card_key FROM ka)
+    UNION ALL SELECT card_key, 'ADDED', NULL, NULL, NULL FROM ka WHERE card_key NOT IN (SELECT card_key FROM kb)
+    UNION ALL SELECT coalesce(fb.card_key, fa.card_key), 'CHANGED', coalesce(fb.field, fa.field), fb.value, fa.value FROM (SELECT * FROM fb WHERE value IS NOT NULL) fb FULL JOIN (SELECT * FROM fa WHERE value IS NOT NULL) fa ON fa.card_key = fb.card_key AND fa.field = fb.field
+      WHERE fa.value IS DISTINCT FROM fb.value AND coalesce(fb.card_key, fa.card_key) IN (SELECT card_key FROM kb) AND coalesce(fb.card_key, fa.card_key) IN (SELECT card_key FROM ka))"""
 
-@query("snapshot_diff", FN, """WITH keyed AS (SELECT *, row_number() OVER (PARTITION BY card_key) AS z FROM person)
-  SELECT card_key, 'REMOVED' AS kind, NULL AS field, NULL AS before, NULL AS after FROM person WHERE card % 101 = 3
-  UNION ALL SELECT 'New ' || card_key, 'ADDED', NULL, NULL, NULL FROM person WHERE card % 200 = 1
-  UNION ALL SELECT card_key, 'CHANGED', 'note', note, note || ' Corrected.' FROM person WHERE card % 101 <> 3 AND card % 50 = 7
-  UNION ALL SELECT card_key, 'CHANGED', 'mn', mn, 'Added later.' FROM person WHERE card % 101 <> 3 AND card % 70 = 9
-  UNION ALL SELECT card_key, 'CHANGED', 'g', g, NULL FROM person WHERE card % 101 <> 3 AND card % 90 = 11""")
+
+@query("snapshot_diff", FN, f"WITH {DIFF} SELECT * FROM diff")
 def snapshot_diff(m):
     return _diff(m)
 
 
-@query("diff_totals", FN, """SELECT count(*) FILTER (card % 101 = 3) + count(*) FILTER (card % 200 = 1) + count(*) FILTER (card % 101 <> 3 AND (card % 50 = 7 OR card % 70 = 9 OR card % 90 = 11)) AS cards_changed,
-  count(*) FILTER (card % 101 <> 3 AND card % 50 = 7) + count(*) FILTER (card % 101 <> 3 AND card % 70 = 9) + count(*) FILTER (card % 101 <> 3 AND card % 90 = 11) AS fields_changed,
-  count(*) FILTER (card % 200 = 1) AS added, count(*) FILTER (card % 101 = 3) AS removed FROM person""")
+@query("diff_totals", FN, f"WITH {DIFF} SELECT count(DISTINCT card_key) AS cards_changed, count(*) FILTER (kind = 'CHANGED') AS fields_changed, count(*) FILTER (kind = 'ADDED') AS added, count(*) FILTER (kind = 'REMOVED') AS removed FROM diff")
 def diff_totals(m):
     return ch.diff_totals(_diff(m))
 
 
+@query("diff_duplicates", "person", "SELECT card_key, count(*) AS n FROM person GROUP BY card_key HAVING count(*) > 1")
+def diff_duplicates(m):
+    return _last(m)[1]
+
+
 @query("map_diff", "", """SELECT c_custkey AS key, CASE WHEN c_custkey % 80 = 5 THEN NULL ELSE c_mktsegment END AS seg_before, CASE WHEN c_custkey % 80 = 6 THEN NULL WHEN c_custkey % 80 = 7 THEN 'MOVED' ELSE c_mktsegment END AS seg_after FROM customer WHERE c_custkey % 80 IN (5, 6, 7)""")
 def map_diff(m):
     base = m.customer.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation"))
@@ -85,11 +102,19 @@ def _batches(m):
 
 
 def _edits(m):
-    return m.edit.join(F.broadcast(_batches(m)), "batch").select(
+    """Edits of names, and of notes that are absent at first, written, deleted, written again and asked for in vain."""
+    steps = F.expr("""inline(array(
+      named_struct('ord', 1, 'seq', 10L, 'expect', cast(null as string), 'value', 'first'), named_struct('ord', 1, 'seq', 11L, 'expect', 'first', 'value', cast(null as string)),
+      named_struct('ord', 2, 'seq', 0L, 'expect', cast(null as string), 'value', p_name), named_struct('ord', 2, 'seq', 1L, 'expect', 'never held', 'value', 'x'),
+      named_struct('ord', 3, 'seq', 0L, 'expect', p_name, 'value', 'last')))""")
+    notes = m.part.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("card"), F.lit("note").alias("path"), steps)
+    notes = notes.select("*", F.lit(None).cast("string").alias("why"), F.lit(True).alias("guarded"))
+    names = m.edit.join(_batches(m), "batch").select(
         F.expr("CASE WHEN card % 130 = 0 THEN -1 - card ELSE card END").alias("card"),
         F.expr("CASE WHEN card % 110 = 0 THEN 'title' ELSE path END").alias("path"),
-        "ord", "seq", "expect", "value", "why",
+        "ord", F.col("seq").cast("long").alias("seq"), "expect", "value", "why", F.col("expect").isNotNull().alias("guarded"),
     )
+    return names.unionByName(notes)
 
 
 def _current(m):
@@ -100,13 +125,17 @@ def _current(m):
   o AS (SELECT CASE WHEN card % 130 = 0 THEN -1 - card ELSE card END AS card, CASE WHEN card % 110 = 0 THEN 'title' ELSE path END AS path, CASE batch WHEN 'b1' THEN 1 ELSE 2 END AS ord, seq,
     CASE WHEN card % 130 = 0 THEN 'card not found' WHEN card % 110 = 0 THEN 'unknown path' WHEN card % 70 = 0 THEN 'expect mismatch' ELSE 'applied' END AS status,
     CASE WHEN card % 130 = 0 OR card % 110 = 0 THEN NULL WHEN seq = 0 OR card % 70 = 0 THEN p_name ELSE p_name || ' one' END AS before, value FROM e)
-  SELECT card, path, ord, seq, status, before, value FROM o""")
+  SELECT card, path, ord, seq, status, before, value FROM o
+  UNION ALL SELECT p_partkey, 'note', 1, 10, 'applied', NULL, 'first' FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT p_partkey, 'note', 1, 11, 'applied', 'first', NULL FROM part WHERE p_partkey % 10 = 3
+  UNION ALL SELECT p_partkey, 'note', 2, 0, 'applied', NULL, p_name FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT p_partkey, 'note', 2, 1, 'expect mismatch', p_name, 'x' FROM part WHERE p_partkey % 10 = 3
+  UNION ALL SELECT p_partkey, 'note', 3, 0, 'applied', p_name, 'last' FROM part WHERE p_partkey % 10 = 3""")
 def merge_cas(m):
     return ch.apply_edits(_edits(m), _current(m)).drop("why")
 
 
 @query("merged_fields", "edit", """WITH e AS (SELECT DISTINCT card FROM edit WHERE batch IN ('b1', 'b2') AND card % 130 <> 0 AND card % 110 <> 0 AND card % 70 <> 0)
-  SELECT p_partkey AS card, 'name' AS path, CASE WHEN e.card IS NULL THEN p_name ELSE p_name || ' two' END AS text FROM part LEFT JOIN e ON e.card = p_partkey WHERE NOT (e.card IS NOT NULL AND p_partkey % 90 = 0)""")
+  SELECT p_partkey AS card, 'name' AS path, CASE WHEN e.card IS NULL THEN p_name ELSE p_name || ' two' END AS text FROM part LEFT JOIN e ON e.card = p_partkey WHERE NOT (e.card IS NOT NULL AND p_partkey % 90 = 0)
+  UNION ALL SELECT p_partkey, 'note', 'last' FROM part WHERE p_partkey % 10 = 3""")
 def merged_fields(m):
     return ch.merged_fields(_current(m), ch.apply_edits(_edits(m), _current(m)))
 

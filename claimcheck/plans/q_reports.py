@@ -136,10 +136,7 @@ def uncited_people(m):
 
 @query("undated_trails", "event", "SELECT card, count(*) AS stops, count(y) AS dated FROM event GROUP BY card HAVING count(*) > 1 AND count(y) = 0")
 def undated_trails(m):
-    return co.undated_trails(m.event.where("pos % 19 < 4"))
-
-
-ORACLES["undated_trails"] = ORACLES["undated_trails"].replace("FROM event GROUP", "FROM event WHERE pos % 19 < 4 GROUP")
+    return co.undated_trails(m.event)
 
 
 @query("university_events", "event place", "SELECT card, pos, t, e.k FROM event e JOIN place p ON e.k = p.k WHERE kind = 'university' AND t NOT IN ('study', 'work')")
@@ -162,19 +159,19 @@ def home_summary(m):
 _LW = "list_filter(string_split_regex({c}, '[^\\p{{L}}]+'), lambda v: v <> '')"
 
 
-@query("leak_scan", "", f"""WITH b AS (SELECT DISTINCT array_to_string(({_LW.format(c=sq.fold('text'))})[1:6], ' ') AS token FROM benchmark),
+@query("leak_scan", "", f"""WITH b AS (SELECT DISTINCT array_to_string({_LW.format(c=sq.fold('text'))}, ' ') AS token FROM benchmark),
   d AS (SELECT doc_id, ' ' || array_to_string({_LW.format(c=sq.fold('text'))}, ' ') || ' ' AS body FROM documents)
   SELECT doc_id, token, 'full' AS tier FROM d JOIN b ON contains(body, ' ' || token || ' ')""")
 def leak_scan(m):
-    index = m.benchmark.select(F.array_join(F.slice(pv.letters(F.col("text")), 1, 6), " ").alias("token"), F.lit("full").alias("tier")).distinct()
+    index = m.benchmark.select(F.array_join(pv.letters(F.col("text")), " ").alias("token"), F.lit("full").alias("tier")).distinct()
     return pv.leak_scan(m.documents, "doc_id", "text", index)
 
 
-@query("message_leak", "", f"""WITH tk AS (SELECT DISTINCT unnest({_LW.format(c='lower(text)')}) AS token FROM benchmark), t5 AS (SELECT token FROM tk WHERE length(token) >= 6),
+@query("message_leak", "", f"""WITH tk AS (SELECT DISTINCT unnest({_LW.format(c='lower(text)')}) AS token FROM benchmark), t5 AS (SELECT token FROM tk WHERE length(token) >= 3),
   w AS (SELECT conv_id, turn, unnest(list_distinct(list_concat({_LW.format(c='lower(text)')}, {_LW.format(c=sq.fold('text'))}))) AS token FROM conversations)
   SELECT conv_id, turn, array_to_string(list_sort(list(DISTINCT token)), ',') AS hits FROM w WHERE length(token) >= 3 AND token IN (SELECT token FROM t5) GROUP BY conv_id, turn""")
 def message_leak(m):
-    tokens = m.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token")).where("length(token) >= 6").distinct()
+    tokens = m.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token")).where("length(token) >= 3").distinct()
     return pv.message_leak(m.conversations, ["conv_id", "turn"], "text", tokens)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,15 @@ BROADCAST_ROWS = 200_000
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the folder the cluster names.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a scratch folder is made.
+    The folder comes from ``spark.checkpoint.dir``. A session in one process may go without
+    that setting and gets a scratch folder; on a cluster it is an error, as executors share no local disk.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimcheck-ckpt-"))
     return df.checkpoint(eager)
 

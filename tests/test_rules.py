@@ -156,9 +156,7 @@ def test_cycle_is_an_error(spark, monkeypatch):
         tr.with_paths(spark.createDataFrame(loop, PERSON))
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_compare_and_set_equals_a_plain_fold(spark, monkeypatch, block):
-    monkeypatch.setattr(ch, "BLOCK", block)
+def test_compare_and_set_equals_a_plain_fold(spark):
     rnd = random.Random(11)
     current = [(c, "name", "a") for c in range(4)] + [(9, "pl[0].w", "x")]
     edits = []
@@ -230,3 +228,29 @@ def test_suite_is_pruned(spark):
     t = tables(spark, [person(1, "Anna Stone", "1890–1820")])
     assert {"C1", "C2", "C3", "C3d", "C4", "C5", "C6", "C7", "C8", "X", "X13"} == set(CHECKS)
     assert {r["check"] for r in run_checks(t, ["C4"]).collect()} == {"C4"}
+
+
+def test_edits_of_absent_and_deleted_fields(spark):
+    """A field is added where it was absent, deleted, written again; nulls are guarded like values, over three batches."""
+    cur = spark.createDataFrame([(1, "profile.headline", "h"), (2, "name", "n")], "card long, path string, text string")
+    schema = "card long, path string, ord int, seq long, guarded boolean, expect string, value string, why string"
+    edits = [
+        (1, "note", 1, 0, True, None, "x", "w"), (1, "note", 1, 1, True, "x", None, "w"), (1, "note", 2, 0, True, None, "y", "w"),
+        (1, "note", 2, 1, True, None, "z", "w"), (1, "note", 3, 0, True, "y", "q", "w"), (1, "note", 3, 1, False, None, None, "w"),
+        (1, "headline", 1, 2, True, "h", "i", "w"), (1, "profile.headline", 1, 3, True, "i", "j", "w"), (2, "bio[0]", 1, 4, True, None, "b", "w"),
+    ]
+    out = ch.apply_edits(spark.createDataFrame(edits, schema), cur)
+    got = {(r["card"], r["path"], r["ord"], r["seq"]): (r["status"], r["before"]) for r in out.collect()}
+    assert got == {
+        (1, "note", 1, 0): ("applied", None), (1, "note", 1, 1): ("applied", "x"), (1, "note", 2, 0): ("applied", None),
+        (1, "note", 2, 1): ("expect mismatch", "y"), (1, "note", 3, 0): ("applied", "y"), (1, "note", 3, 1): ("applied", "q"),
+        (1, "profile.headline", 1, 2): ("applied", "h"), (1, "profile.headline", 1, 3): ("applied", "i"), (2, "bio[0]", 1, 4): ("unknown path", None),
+    }
+    assert {tuple(r) for r in ch.merged_fields(cur, out).collect()} == {(1, "profile.headline", "j"), (2, "name", "n")}
+
+
+def test_repeated_keys_stand_for_their_last_card(spark):
+    people = spark.createDataFrame([(1, "a|1"), (5, "a|1"), (2, "b|2")], "card long, card_key string")
+    kept, repeated = ch.latest_by_key(people)
+    assert {tuple(r) for r in kept.select("card", "card_key").collect()} == {(5, "a|1"), (2, "b|2")}
+    assert [tuple(r) for r in repeated.collect()] == [("a|1", 2)]
