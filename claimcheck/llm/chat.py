@@ -34,7 +34,7 @@ LAYOUTS = (
     Layout("OBJECT<prompt, response>", fields=(("user", "prompt"), ("assistant", "response"))),
     Layout("OBJECT<completion, prompt>", fields=(("user", "prompt"), ("assistant", "completion"))),
     Layout("OBJECT<instruction, output>", fields=(("user", "instruction"), ("assistant", "output"))),
-    Layout("OBJECT<instruction, input, output>", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("OBJECT<input, instruction, output>", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("OBJECT<prompt, response, system>", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
 )
 

@@ -37,8 +37,8 @@ with p as (
 ), r as (
   select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as least from q
 )
-select page_id, payload_bytes, payload_digest, case when page_id > least then 'revisit' else 'response' end as record_type,
-  case when page_id > least then least end as refers_to
+select page_id, payload_bytes, payload_digest, case when coalesce(page_id, least + 1) > least then 'revisit' else 'response' end as record_type,
+  case when coalesce(page_id, least + 1) > least then least end as refers_to
 from r"""
 
 

@@ -148,7 +148,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     """(page_id, url, html, payload_digest, response_id) of each page; response_id is null unless the page is a revisit.
 
     Of pages with equal payloads of at least min_bytes bytes the least page_id is the response. Rows that share the
-    least page_id are all responses; a null page_id is never the least, and without any other all are responses.
+    least page_id are all responses; a null page_id is never the least and revisits it, and without any other all are responses.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.coalesce(F.col("html"), F.lit(""))
