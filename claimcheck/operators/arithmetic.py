@@ -387,9 +387,8 @@ def age_check(fields: DataFrame, person: DataFrame, union_: DataFrame, event: Da
     direct = bearers.join(wanted.select("key").distinct(), "key", "left_semi")
     found = direct.select("key").distinct()
     exact = wanted.join(found, "key", "left_semi").withColumn("skey", F.concat(F.lit("N:"), "key"))
-    loose = wanted.join(found, "key", "left_anti").select("name", F.explode(nm.query_keys(F.col("name"))).alias("skey"))
-    spread = nm.index_keys(bearers).join(loose.select("skey").distinct(), "skey", "left_semi")
-    spread = spread.groupBy("skey", "born", "died").agg(F.sum("n").alias("n"))
+    loose = wanted.join(found, "key", "left_anti").select("name", nm.token_key(F.col("name")).alias("skey")).where("skey is not null")
+    spread = bearers.join(nm.containments(loose, bearers), "key").groupBy("skey", "born", "died").agg(F.sum("n").alias("n"))
     direct = direct.select(F.concat(F.lit("N:"), "key").alias("skey"), "born", "died", "n")
     subjects = cut_lineage(kin_groups.unionByName(direct).unionByName(spread))
     totals = total(subjects)

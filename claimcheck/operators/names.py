@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from claimcheck.functions import text as tx
 from claimcheck.session import one_long, small_side
 
-MAX_QUERY_TOKENS = 4  # a capitalised run holds at most four words
-
 
 def _words(c: Column) -> Column:
     return F.filter(F.split(tx.norm(c), r"\s+"), lambda w: w != "")
@@ -35,68 +33,57 @@ def name_tokens(c: Column) -> Column:
     )
 
 
-def token_subsets(tokens: Column, most: int = MAX_QUERY_TOKENS) -> Column:
-    """Every non-empty subset of a sorted token array up to ``most`` tokens, as joined keys."""
+def token_subsets(tokens: Column) -> Column:
+    """Every non-empty subset of a sorted token array, as joined keys."""
     empty = F.array(F.slice(F.array(F.lit("")), 1, 0))
-
-    def grow(acc: Column, t: Column) -> Column:
-        open_ = F.filter(acc, lambda x: F.size(x) < most)
-        return F.concat(acc, F.transform(open_, lambda x: F.array_append(x, t)))
-
+    grow = lambda acc, t: F.concat(acc, F.transform(acc, lambda x: F.array_append(x, t)))
     sets = F.filter(F.aggregate(tokens, empty, grow), lambda x: F.size(x) > 0)
     return F.transform(sets, lambda x: F.array_join(x, " "))
 
 
-def index_keys(index: DataFrame, key: str = "key") -> DataFrame:
-    """Search keys of an index: exact key, token subsets, and the whole token set.
+def token_key(name: Column) -> Column:
+    """Search key of a queried name: its set of tokens; null without any."""
+    tokens = name_tokens(name)
+    return F.when(F.size(tokens) > 0, F.concat(F.lit("T:"), F.array_join(tokens, " ")))
 
-    With these a containment test in either direction is an equality join.
-    """
-    toks = name_tokens(F.col(key))
-    size = F.size("_t")
-    base = index.withColumn("_t", toks)
-    subsets = F.filter(
-        token_subsets(F.col("_t")),
-        lambda k: F.contains(k, F.lit(" ")) | (F.length(k) >= 6),
-    )
-    keys = F.concat(
-        F.array(F.concat(F.lit("N:"), F.col(key))),
-        F.transform(subsets, lambda k: F.concat(F.lit("Q:"), k)),
-        F.when(size >= 2, F.array(F.concat(F.lit("I:"), F.array_join("_t", " ")))).otherwise(
-            F.array().cast("array<string>")
-        ),
-    )
-    return base.withColumn("skey", F.explode(keys)).drop("_t")
+
+def _rarest(sets: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """sets (name, tokens, ...) with the token of each that the fewest index keys have; none if no key has any."""
+    each = sets.select(name, F.explode("tokens").alias("token")).join(counts, "token")
+    least = each.groupBy(name).agg(F.min(F.struct("n", "token")).alias("r")).select(name, F.col("r.token").alias("token"))
+    return sets.join(least, name)
 
 
-def query_keys(name: Column) -> Column:
-    """Fallback search keys of a queried name (used only when its exact key is unknown)."""
-    toks = name_tokens(name)
-    n = F.size(toks)
-    whole = F.array_join(toks, " ")
-    parts = F.filter(token_subsets(toks), lambda k: F.contains(k, F.lit(" ")) & (k != whole))
-    return F.when(
-        n >= 1, F.concat(F.array(F.concat(F.lit("Q:"), whole)), F.transform(parts, lambda k: F.concat(F.lit("I:"), k)))
-    ).otherwise(F.array().cast("array<string>"))
+def containments(queries: DataFrame, index: DataFrame, qcol: str = "name", icol: str = "key") -> DataFrame:
+    """(skey, key): the index keys whose tokens contain those of a query, or are contained in them.
+
+    Containment takes two tokens, or a query of one token of six letters or more. A contained set meets the other side
+    on its rarest token and is then verified, so names of any length are found by one equality join in each direction.
+    """
+    asked = queries.select(token_key(F.col(qcol)).alias("skey"), name_tokens(F.col(qcol)).alias("tokens")).where("skey is not null").dropDuplicates(["skey"])
+    held = index.select(F.col(icol).alias("key")).distinct().withColumn("tokens", name_tokens(F.col("key"))).where(F.size("tokens") > 0)
+    held_tokens = held.select("key", F.col("tokens").alias("all"), F.explode("tokens").alias("token"))
+    counts = held_tokens.groupBy("token").agg(F.count("*").alias("n"))
+    inside = F.size(F.array_except("tokens", "all")) == 0
+    wide = asked.where((F.size("tokens") >= 2) | (F.length(F.get("tokens", F.lit(0))) >= 6))
+    within_key = _rarest(wide, counts, "skey").join(held_tokens, "token").where(inside).select("skey", "key")
+    asked_tokens = asked.select("skey", F.col("tokens").alias("all"), F.explode("tokens").alias("token"))
+    within_query = _rarest(held.where(F.size("tokens") >= 2), counts, "key").join(asked_tokens, "token").where(inside).select("skey", "key")
+    return within_key.union(within_query).distinct()
 
 
 def resolve(queries: DataFrame, index: DataFrame, qcol: str = "name", icol: str = "key") -> DataFrame:
-    """Distinct query names with the search keys that answer them and how (exact, containment).
+    """Distinct query names with the search key that answers them and how (exact, containment).
 
-    Candidates are counted per key before any join, so a name borne by very many people is one
+    Candidates are counted per index key before any join, so a name borne by very many people is one
     row. ``index`` has one row per (key, person).
     """
-    per_key = index_keys(index, icol).groupBy("skey").agg(F.count("*").alias("candidates"))
+    per_key = index.groupBy(F.col(icol).alias("key")).agg(F.count("*").alias("candidates"))
     q = queries.select(F.col(qcol).alias("name")).distinct().withColumn("key", tx.fold(F.col("name")))
-    exact = q.join(
-        per_key.select(F.expr("substring(skey, 3)").alias("key"), "candidates").where("skey like 'N:%'"), "key"
-    ).select("name", F.concat(F.lit("N:"), "key").alias("skey"), F.lit("exact").alias("how"), "candidates")
-    rest = q.join(exact.select("name").distinct(), "name", "left_anti")
-    loose = (
-        rest.select("name", F.explode(query_keys(F.col("name"))).alias("skey"))
-        .join(per_key.where("skey not like 'N:%'"), "skey")
-        .select("name", "skey", F.lit("containment").alias("how"), "candidates")
-    )
+    exact = q.join(per_key, "key").select("name", F.concat(F.lit("N:"), "key").alias("skey"), F.lit("exact").alias("how"), "candidates")
+    rest = q.join(per_key, "key", "left_anti").select("name", token_key(F.col("name")).alias("skey"))
+    answers = containments(rest, per_key).join(per_key, "key").groupBy("skey").agg(F.sum("candidates").alias("candidates"))
+    loose = rest.join(answers, "skey").select("name", "skey", F.lit("containment").alias("how"), "candidates")
     return exact.unionByName(loose)
 
 

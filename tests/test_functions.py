@@ -113,6 +113,15 @@ def test_name_keys_and_subsets(on):
     assert sorted(got) == ["anna", "anna stone", "stone"]
 
 
+def test_names_of_any_length_are_found(spark):
+    names = ["Maria Berta Clara Dora Emma", "Maria Berta Clara Dora Emma Frida Gerda Heims", "berta clara", "Clara", "Gerda", "Zoe Clara"]
+    index = ["maria berta clara dora emma frida", "maria berta clara dora emma frida", "berta clara", "friedrich", "gerda"]
+    got = nm.resolve(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in index], "key string"))
+    assert sorted((r.name, r.how, r.candidates) for r in got.collect()) == [
+        ("Gerda", "exact", 1), ("Maria Berta Clara Dora Emma", "containment", 3), ("Maria Berta Clara Dora Emma Frida Gerda Heims", "containment", 3), ("berta clara", "exact", 1),
+    ]
+
+
 def test_urls(on):
     urls = ["https://www.Example.org/ark:/61903/abcd9", "not a url", "http://x.org/v?p=Ann%20B&n=ab", "http://x.org/memorial/12345"]
     assert on(urls, ac.host_of) == ["example.org", "?", "x.org", "x.org"]
