@@ -31,8 +31,13 @@ def _ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _lower(text: Column) -> Column:
+    """Lower case of all scripts, for hashes. What a capital sigma becomes depends on what follows it, so it is replaced first."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def _gram_hash(array: str, at: Column, size: int) -> Column:
-    """Hash of the words at..at+size-1 of an array of words that lower() has been over; equal words have equal hashes."""
+    """Hash of the words at..at+size-1 of an array of words that _lower() has been over; equal words have equal hashes."""
     return F.xxhash64(*(F.get(F.col(array), at + k) for k in range(size)))
 
 
@@ -51,7 +56,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         "item", F.xxhash64("item", "text").alias("window"), "size", width.alias("width"),
         F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size") - width + 1), lambda k: F.slice("w", k, width))).alias("at", "s"),
     )
-    lower = F.transform("s", lambda x: F.lower(x))
+    lower = F.transform("s", _lower)
     hashed = F.lit(None).cast("long")
     for n in range(1, SHINGLE + 1):
         hashed = F.when(F.col("width") == n, F.xxhash64(*(F.get(lower, F.lit(k)) for k in range(n)))).otherwise(hashed)
@@ -67,7 +72,7 @@ def shingle_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     keys = windows.select("width", "hash", "gram").distinct()
     small = keys.count() <= BROADCAST_SHINGLES
     found = None
-    read = docs.select("doc", "print", _tokens(F.col("text")).alias("raw"), F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BETWEEN), "").alias("low"))
+    read = docs.select("doc", "print", _tokens(F.col("text")).alias("raw"), F.array_remove(F.split(_lower(F.coalesce("text", F.lit(""))), BETWEEN), "").alias("low"))
     for width in sorted(widths):
         own = keys.where(F.col("width") == width).select("hash", "gram")
         placed = read.select("doc", "print", "raw", "low", F.posexplode("low").alias("pos", "_word")).where(F.col("pos") <= F.size("low") - width)

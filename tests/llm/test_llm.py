@@ -254,6 +254,9 @@ def test_decontamination_counts(spark):
         (13, 13, 2, sha("10", "6"), True), (12, 0, 0, sha(), False), (402, 2, 1, sha("9"), False), (0, 0, 0, sha(), False), (0, 0, 0, sha(), False), (1, 0, 0, sha(), False),
         (40, 40, 2, sha("10", "6"), True), (2, 2, 1, sha("9"), True), (3, 2, 1, sha("9"), True),
     ]
+    greek = spark.createDataFrame([(1, "one \u0391\u03a3.\u0392 two"), (2, "one \u03b1\u03c3")], "doc_id long, text string")
+    found = decontaminate.decontaminate(greek, spark.createDataFrame([(1, "ONE \u0391\u03a3")], "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 2, 2: 0}
     assert decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
