@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.functions import lexicon as lx
@@ -14,12 +14,14 @@ from claimcheck.functions import lexicon as lx
 @dataclass(frozen=True)
 class Rule:
     """``holds`` is a row condition in SQL; with ``at_least`` the rule is a minimum count of rows
-    that satisfy it, otherwise every row must."""
+    that satisfy it, otherwise every row must. With ``distinct`` the minimum counts the different
+    values of the expression ``holds`` instead."""
 
     name: str
     table: str
     holds: str
     at_least: int | None = None
+    distinct: bool = False
 
 
 def _filled(c: str) -> str:
@@ -51,12 +53,16 @@ def default_rules() -> list[Rule]:
         Rule("document is captioned in both languages", "doc", f"{_filled('cap')} AND {_filled('cap_fr')}"),
         Rule("document is transcribed in both languages", "doc", f"{_filled('tr')} AND {_filled('tr_fr')}"),
         Rule("document image is embedded", "doc", "img RLIKE '^data:image/(jpeg|png);base64,'"),
+        Rule("at least 10 people have documents", "doc", "card", 10, distinct=True),
+        Rule("at least 20 documents", "doc", "true", 20),
         Rule("document link is https", "doc", f"NOT ({_filled('u')}) OR u LIKE 'https://%'"),
         Rule("place coordinates are valid", "place", "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180"),
         Rule("place names are bilingual", "place", f"{_filled('n')} AND {_filled('n_fr')}"),
         Rule("place contexts are bilingual", "place", "c IS NOT NULL AND c_fr IS NOT NULL"),
         Rule("more than 100 places", "place", "true", 101),
         Rule("at least 380 events", "event", "true", 380),
+        Rule("at least 90 people have a place trail", "event", "card", 90, distinct=True),
+        Rule("at least 8 event types", "event", "t", 8, distinct=True),
         Rule("event certainty is known", "event", _one_of("c", lx.CERTAINTIES)),
         Rule("event type is known", "event", _one_of("t", lx.EVENT_TYPES)),
         Rule("event year is plausible", "event", "y IS NULL OR (y > 1400 AND y < 2100)"),
@@ -64,16 +70,24 @@ def default_rules() -> list[Rule]:
         Rule("event note has its translation", "event", _translated("w", "w_fr")),
         Rule("uncertain or conflicting event explains itself", "event", f"(c = 'doc' AND NOT x) OR {_filled('w')}"),
         Rule("at least one disclosed conflict", "event", "x", 1),
+        Rule("at least 80 homes are a birth or baptism", "home", _one_of("t", ["birth", "baptism"]), 80),
+        Rule("at least 25 home places", "home", "k", 25, distinct=True),
     ]
 
 
+def _held(rule: Rule) -> Column:
+    if rule.distinct:
+        return F.count_distinct(F.expr(rule.holds))
+    return F.count_if(F.coalesce(F.expr(rule.holds), F.lit(False)))
+
+
 def check_constraints(tables: dict[str, DataFrame], rules: list[Rule] | None = None) -> DataFrame:
     """(name, scope, violations, total): a missing minimum counts as that many violations."""
     rules = default_rules() if rules is None else rules
     parts = []
     for table in dict.fromkeys(r.table for r in rules):
         mine = [r for r in rules if r.table == table]
-        held = [F.count_if(F.coalesce(F.expr(r.holds), F.lit(False))).alias(f"h{i}") for i, r in enumerate(mine)]
+        held = [_held(r).alias(f"h{i}") for i, r in enumerate(mine)]
         row = tables[table].agg(F.count("*").alias("total"), *held)
         cells = [
             F.struct(
@@ -92,6 +106,15 @@ def check_constraints(tables: dict[str, DataFrame], rules: list[Rule] | None = N
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def root_reach(person: DataFrame, paths: DataFrame) -> DataFrame:
+    """(people, roots, descendants): in one whole tree there is one root, and all others descend from it."""
+    below = F.count_if(F.col("depth") > 0)
+    rows = person.select(F.col("parent_card").isNull().alias("root"), F.lit(None).cast("int").alias("depth")).unionByName(
+        paths.select(F.lit(None).cast("boolean").alias("root"), F.col("depth").cast("int").alias("depth"))
+    )
+    return rows.agg(F.count("root").alias("people"), F.count_if("root").alias("roots"), below.alias("descendants"))
+
+
 def uncited_people(person: DataFrame, source: DataFrame) -> DataFrame:
     """Everyone needs at least one card source."""
     return person.select("card", "name").join(source.where("origin = 'src'").select("card"), "card", "left_anti")

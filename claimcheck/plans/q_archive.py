@@ -132,8 +132,7 @@ def archive_coverage(m):
 @query("archive_gaps", "capture", f"WITH {STATUS} SELECT dependents, risk, coalesce(result, 'never tried') AS result, url, (SELECT count(*) FROM st WHERE NOT held) AS gaps FROM st WHERE NOT held ORDER BY dependents DESC, url LIMIT 15")
 def archive_gaps(m):
     worst, total = ac.gaps(_status(m))
-    # the total is a one-row table, so this join adds a column and no pairs
-    return worst.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumnRenamed("n", "gaps").withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return worst.select("*", total.select("n").scalar().alias("gaps"))
 
 
 @query("orphaned_cards", "capture", f"""WITH {STATUS}, pcards AS (SELECT substr(sha1(url), 1, 12) AS id, page_id % 91 AS card FROM pages)

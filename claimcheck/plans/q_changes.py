@@ -159,8 +159,7 @@ def gaz_merge(m):
         "CAST(s_suppkey % 30 AS INT) AS k", "s_suppkey AS seq", "CASE WHEN s_suppkey % 2 = 0 THEN 'Place ' || s_suppkey END AS n", "CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 90 AS DOUBLE) END AS lat"
     )
     out, bad = ch.merge_places(m.place, e)
-    errors = bad.agg(F.count("*").alias("errors")).withColumn("_one", F.lit(1))
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(errors), "_one").select("k", "n", "lat", "errors")
+    return out.select("k", "n", "lat", bad.agg(F.count("*")).scalar().alias("errors"))
 
 
 @query("edit_history", "edit", """SELECT card, CASE batch WHEN 'b1' THEN 1 ELSE 2 END AS ord, batch, seq, path, coalesce(why, '(no reason given)') AS why, '- ' || expect || ' + ' || coalesce(value, 'null') AS change FROM edit WHERE batch IN ('b1', 'b2')""")

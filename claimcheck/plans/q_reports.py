@@ -11,6 +11,7 @@ from claimcheck.operators import findings as fi
 from claimcheck.operators import geometry as ge
 from claimcheck.operators import privacy as pv
 from claimcheck.operators import structure as st
+from claimcheck.operators import tree as tr
 from claimcheck.plans import q_structure, q_text  # noqa: F401  (their SQL is reused below)
 from claimcheck.plans import sql_text as sq
 from claimcheck.plans.registry import ORACLES, query
@@ -109,24 +110,35 @@ def _constraint_sql() -> str:
         "event certainty is known": "c IN ('doc', 'inf', 'apx')", "event type is known": "t IN (" + ", ".join(f"'{t}'" for t in lx.EVENT_TYPES) + ")",
         "event year is plausible": "(y IS NULL OR (y > 1400 AND y < 2100))", "event span does not run backwards": "(y2 IS NULL OR y IS NULL OR y2 >= y)",
         "event note has its translation": pair("w", "w_fr"), "uncertain or conflicting event explains itself": f"((c = 'doc' AND NOT x) OR {filled('w')})",
-        "at least one disclosed conflict": None,
+        "at least one disclosed conflict": None, "at least 10 people have documents": ("DISTINCT card", "true", 10), "at least 20 documents": 20,
+        "at least 90 people have a place trail": ("DISTINCT card", "true", 90), "at least 8 event types": ("DISTINCT t", "true", 8),
+        "at least 80 homes are a birth or baptism": ("*", "t IN ('birth', 'baptism')", 80), "at least 25 home places": ("DISTINCT k", "true", 25),
     }
     out = []
     for r in co.default_rules():
         cond = conds[r.name]
         if cond is None:
             v = "greatest(1 - count(*) FILTER (x), 0)"
+        elif isinstance(cond, tuple):
+            v = f"greatest({cond[2]} - count({cond[0]}) FILTER ({cond[1]}), 0)"
         elif isinstance(cond, int):
             v = f"greatest({cond} - count(*), 0)"
         else:
             v = f"count(*) - count(*) FILTER ({cond})"
         out.append(f"SELECT '{r.name}' AS name, '{r.table}' AS scope, {v} AS violations, count(*) AS total FROM {r.table}")
-    return " UNION ALL ".join(out)
+    home = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY CASE WHEN x THEN 3 WHEN t = 'birth' THEN 0 WHEN t = 'baptism' THEN 1 ELSE 2 END, pos) AS rn FROM event) WHERE rn = 1"
+    return f"WITH home AS ({home}) " + " UNION ALL ".join(out)
 
 
 @query("constraints", "person union_ source doc place event", _constraint_sql())
 def constraints(m):
-    return co.check_constraints({t: m.table(t) for t in ["person", "union_", "source", "doc", "place", "event"]})
+    tables = {t: m.table(t) for t in ["person", "union_", "source", "doc", "place", "event"]}
+    return co.check_constraints(tables | {"home": st.home_event(m.event)})
+
+
+@query("root_reach", "person", f"WITH {q_structure.WALK} SELECT (SELECT count(*) FROM person) AS people, (SELECT count(*) FROM person WHERE parent_card IS NULL) AS roots, (SELECT count(*) FROM walk WHERE depth > 0) AS descendants")
+def root_reach(m):
+    return co.root_reach(m.person, tr.with_paths(m.person))
 
 
 @query("uncited_people", "person source", "SELECT card, name FROM person WHERE card NOT IN (SELECT card FROM source WHERE origin = 'src')")
