@@ -44,20 +44,23 @@ def sampling_key(doc_id: Column, quality: Column, seed: int) -> Column:
     return -F.log(uniform) / quality
 
 
-def mix(docs: DataFrame, quality: Column | None = None, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> the same rows with size, source_size, target and taken.
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with size, the words of the text, in place of columns that mixing adds."""
+    return docs.drop("size", "source_size", "target", "taken").withColumn("size", n_words(F.col("text")))
+
+
+def mix_sized(docs: DataFrame, quality: Column | None = None, seed: int = 0) -> DataFrame:
+    """docs (doc_id, source, size, ...) -> the same rows with source_size, target and taken.
 
     A source's target is made of as many complete epochs as fit, in which each document counts once; what remains is
     filled with documents in the order of their sampling keys, as far as that brings the sum nearer to the target. Sums
     are taken by ranges of the key first, so only the documents of one range of a source are put in order together.
 
-    Null and empty texts have size 0 and are never taken; a null source is a source; a null doc_id has a key of its own
-    like any other, rows with equal ids are ordered by size. A null quality counts as 1. Columns named like the added ones are replaced.
+    Documents of size 0 are never taken; a null source is a source; a null doc_id has a key of its own like any other,
+    rows with equal ids are ordered by size. A null quality counts as 1.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
     weight = F.coalesce(quality, F.lit(1.0)) if quality is not None else F.lit(1.0)
-    key = sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), weight, seed)
-    sized = docs.withColumns({"size": n_words(F.col("text")), "_key": key})
+    sized = docs.withColumn("_key", sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), weight, seed))
     sized = sized.withColumn("_range", F.floor(F.lit(RANGES) * (1 - F.exp(-F.col("_key")))).cast("int"))
     sized = sized.withColumns({"_name": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
     ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("range_size"))
@@ -85,3 +88,23 @@ def label_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for label, value in QUALITY.items():
         weight = F.when(F.col("_label") == label, value).otherwise(weight)
     return docs.join(best, F.col("doc_id") == F.col("_labelled"), "left").withColumn("_quality", weight).drop("_labelled", "_label")
+
+
+def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """docs (doc_id, text, source, ...) -> the same rows with size, source_size, target and taken, by mix_sized.
+
+    Null and empty texts have size 0. The mix is made of rows without texts, which are dealt out once, when the numbers
+    of words taken return to them; of rows that are equal in id, source and text any may be the one taken once more.
+    Columns named like the added ones are replaced. labels (doc_id, quality) weigh the sampling.
+    """
+    known = [F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text"]
+    docs = sized(docs).withColumns({"_row": F.xxhash64(F.lit(0), *known), "_row2": F.xxhash64(F.lit(1), *known)})
+    rows = docs.select("doc_id", "source", "size", "_row", "_row2")
+    mixed = mix_sized(rows, seed=seed) if labels is None else mix_sized(label_quality(rows, labels), F.col("_quality"), seed)
+    least = F.min("taken").alias("_least")
+    taken = mixed.groupBy("_row", "_row2").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), least, F.sum("taken").alias("_all"), F.count("*").alias("_n"))
+    nth = F.row_number().over(W.partitionBy("_row", "_row2").orderBy("size"))
+    found = docs.withColumn("_nth", nth).join(taken, ["_row", "_row2"])
+    more = (F.col("_all") - F.col("_n") * F.col("_least") >= F.col("_nth") * F.col("size")) & (F.col("size") > 0)
+    found = found.withColumn("taken", F.col("_least") + F.when(more, F.col("size")).otherwise(0))
+    return found.drop("_row", "_row2", "_nth", "_least", "_all", "_n")

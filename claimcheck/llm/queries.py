@@ -66,10 +66,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from claimcheck.llm.mixing import label_quality, mix
+    from claimcheck.llm.mixing import label_quality, mix_sized, sized
 
-    docs = label_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
-    return mix(docs, F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    return mix_sized(label_quality(docs, table(spark, sf_dir, "labels")), F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLES["op5_mixing"] = r"""

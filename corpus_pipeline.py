@@ -9,7 +9,7 @@ from claimcheck.llm.common import WORD, new_folder, table
 from claimcheck.llm.decontaminate import decontaminate
 from claimcheck.llm.jaccard_join import one_of_each_group
 from claimcheck.llm.line_dedup import line_dedup
-from claimcheck.llm.mixing import label_quality, mix
+from claimcheck.llm.mixing import mix
 from claimcheck.llm.quality import quality_rules
 
 
@@ -36,7 +36,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the words it takes of each, repeats counted."""
-    mixed = mix(label_quality(docs, table(spark, sf_dir, "labels")), F.col("_quality"))
+    mixed = mix(docs, table(spark, sf_dir, "labels"))
     return mixed.where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
 
 

@@ -196,6 +196,10 @@ def test_mixing_reaches_targets(spark, docs):
     again = mixing.mix(docs.repartition(5)).select("doc_id", "size", "taken").collect()
     assert sorted(map(str, again)) == sorted(str(r) for r in [type(again[0])(doc_id=r.doc_id, size=r.size, taken=r.taken) for r in got])
     assert mixing.mix(docs.limit(0)).count() == 0
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 160, 3)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    with_texts = mixing.mix(docs, labels).select("doc_id", "source", "size", "target", "taken")
+    without = mixing.mix_sized(mixing.label_quality(mixing.sized(docs).drop("text"), labels), F.col("_quality")).select(*with_texts.columns)
+    assert sorted(map(str, with_texts.collect())) == sorted(map(str, without.collect()))
 
 
 def test_targets_by_repeated_resharing(spark):
