@@ -14,8 +14,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of a window, and of the shingles that look for it.
 WINDOW, SHINGLE = 13, 5
-#: The benchmark's shingles are broadcast up to this number (about 40 MB); more of them are joined by a shuffle.
-BROADCAST_SHINGLES = 500_000
+#: The benchmark's shingles are broadcast up to this number (about 40 MB). More of them are joined by a shuffle, behind a
+#: broadcast table of at most so many masks of 64 bits, which few words that begin no shingle pass.
+BROADCAST_SHINGLES, MASKS = 500_000, 1 << 20
 
 
 def _tokens(text: Column) -> Column:
@@ -41,6 +42,18 @@ def _gram_hash(array: str, at: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(F.col(array), at + k) for k in range(size)))
 
 
+def _slot_and_bit(hash_: Column) -> tuple[Column, Column]:
+    """The mask a hash belongs to, and its bit there."""
+    return F.pmod(hash_, F.lit(MASKS)).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(hash_, 32), F.lit(64)).cast("int")).alias("bit")
+
+
+def _likely(placed: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows of placed whose hash has its bit in the masks of hashes: all that are among them, and few others."""
+    masks = hashes.select(*_slot_and_bit(F.col("hash"))).groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+    slot, bit = _slot_and_bit(F.col("hash"))
+    return placed.withColumn("slot", slot).join(F.broadcast(masks), "slot").where(F.col("mask").bitwiseAND(bit) != 0)
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item, window, size, at, width, hash, gram): the shingles of each window, at their place in it.
 
@@ -66,7 +79,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def shingle_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc, print, pos, width, gram): every place of a document that has a benchmark shingle.
 
-    The words of a text are looked up in one pass over it, without a shuffle while the shingles can be broadcast.
+    The words of a text are looked up in one pass over it, without a shuffle while the shingles can be broadcast. With more
+    shingles the places that the masks let through are shuffled, with their own words only.
     """
     widths = [r[0] for r in windows.select("width").distinct().collect()]
     keys = windows.select("width", "hash", "gram").distinct()
@@ -77,9 +91,12 @@ def shingle_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
         own = keys.where(F.col("width") == width).select("hash", "gram")
         placed = read.select("doc", "print", "raw", "low", F.posexplode("low").alias("pos", "_word")).where(F.col("pos") <= F.size("low") - width)
         placed = placed.withColumn("hash", _gram_hash("low", F.col("pos"), width))
-        hit = placed.join(F.broadcast(own) if small else own, "hash")
         here = _ascii_lower(F.array_join(F.slice("raw", F.col("pos") + 1, width), " "))
-        hit = hit.where(here == F.col("gram")).select("doc", "print", "pos", F.lit(width).alias("width"), "gram")
+        if small:
+            hit = placed.join(F.broadcast(own), "hash").where(here == F.col("gram"))
+        else:
+            hit = _likely(placed, own).select("doc", "print", "pos", "hash", here.alias("gram")).join(own, ["hash", "gram"])
+        hit = hit.select("doc", "print", "pos", F.lit(width).alias("width"), "gram")
         found = hit if found is None else found.union(hit)
     return found
 

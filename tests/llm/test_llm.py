@@ -264,6 +264,18 @@ def test_decontamination_counts(spark):
     assert decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("masks", [1 << 20, 1])
+def test_decontamination_behind_masks(spark, monkeypatch, masks):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(-1, "Two Words"), (-2, None)], "item_id long, text string"))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "TWO, words x"), (-2, None), (None, "two words")], "doc_id long, text string"))
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    result = lambda: collections.Counter(map(tuple, decontaminate.decontaminate(rows, bench).select(*columns).collect()))
+    plain = result()
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", -1)
+    monkeypatch.setattr(decontaminate, "MASKS", masks)
+    assert result() == plain and sum(r[2] > 0 for r in plain) > 2
+
+
 def test_html_main_text(spark):
     menu = "<div><span>Home of the site</span></div>"
     pages = [(k, "http://h.org/1", f"<body>{menu}<div><p>Own &amp; text {k}<br>more<p>second {k}</div></body>") for k in range(8)]
