@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from claimcheck.llm.common import words
 
-#: Rules are measured on about so many documents.
-SAMPLE = 2_000
+#: Rules are measured on about so many documents, drawn from all and dealt out to so many tasks.
+SAMPLE, SAMPLE_TASKS = 2_000, 8
 #: Words of a window that is looked for again in the same text.
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -87,13 +87,14 @@ def cascade_order(measured: DataFrame, rules: tuple[Rule, ...]) -> list[Rule]:
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, sample: int = SAMPLE) -> DataFrame:
     """docs with the metrics, base_failed, rejected_by (the first rule of the cascade that rejects, else null) and kept.
 
-    Costs and selectivities come from a sample of at most `sample` rows; the verdict does not depend on them, only
+    Costs and selectivities come from a sample of about `sample` rows; the verdict does not depend on them, only
     rejected_by can, where several rules reject a document. A null or empty text has no words and fails the base rules.
     Added columns replace columns of the same name; others stay, repeated rows are judged alike.
     """
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
     docs = docs.drop(*own)
-    some = metrics(docs.select(text).sample(0.1, 7).limit(sample), text).drop(text).persist()
+    share = min(1.0, sample / max(docs.count(), 1))
+    some = metrics(docs.select(text).sample(share, 7).repartition(SAMPLE_TASKS), text).drop(text).persist()
     some.count()
     order = cascade_order(some, rules)
     some.unpersist()
