@@ -44,9 +44,11 @@ from r"""
 
 @query
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.labelled_urls import labelled_urls
     from claimcheck.llm.url_filter import judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    labelled = spark.createDataFrame(labelled_urls(), "host string, path string, blocked boolean")
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, labelled)
 
 
 @query

@@ -65,9 +65,9 @@ def labelled_by_rules(urls: DataFrame, rules: dict[str, str], most: int = LABELL
 def judge_urls(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None = None) -> DataFrame:
     """pages (page_id, url) -> (page_id, host, path, rule, verdict, p_block).
 
-    The regression is trained on the bounded table `labelled` (host, path, blocked), by default URLs of pages that the
-    rules judge; it decides where no rule fits, so a curated list reaches hosts and paths like those it names. With no
-    labelled URL every probability is 0.5, and 0.5 or more blocks. A null url or one without :// has an empty host and
+    The regression is trained on the bounded table `labelled` (host, path, blocked), as that of labelled_urls.py; it
+    decides where no rule fits, so a curated list reaches hosts and paths like those it names. Without a table it is
+    trained on URLs of pages that the rules judge and only extends these rules. With no labelled URL every probability is 0.5, and 0.5 or more blocks. A null url or one without :// has an empty host and
     path and is judged like any other; repeated rows give repeated results; other columns are ignored.
     """
     spark = pages.sparkSession

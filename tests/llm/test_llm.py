@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from claimcheck.llm import chat, decontaminate, html_text, jaccard_join, licenses, line_dedup, mixing, quality, queries, url_filter, warc
+from claimcheck.llm import chat, decontaminate, html_text, jaccard_join, labelled_urls, licenses, line_dedup, mixing, quality, queries, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -183,6 +183,17 @@ def test_url_rules_and_model(spark):
     assert empty[0].p_block == 0.5 and empty[0].verdict == "block"
 
 
+def test_url_query_blocks_bad_hosts_that_no_rule_names(spark, tmp_path):
+    names = {True: ["casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x"], False: ["ththan", "tionble", "therly", "broads-authority", "alphabeta", "pillows", "running-track", "farm-shop", "essex-police", "adult-school", "github"]}
+    table_hosts = {host for host, _, _ in labelled_urls.labelled_urls()}
+    urls = [(bad, f"https://{prefix}{name}.example.com/{lang}/{k}") for bad in names for name in names[bad] for prefix in ("", "m.", "www.") for k, lang in enumerate(("en", "fr", "es"))]
+    assert not any(f"{name}." in host for name in names[True] for host in table_hosts)
+    spark.createDataFrame([(k, url) for k, (_, url) in enumerate(urls)], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.QUERIES["op2_url_filter"](spark, str(tmp_path)).collect()}
+    assert all(r.rule is None for r in got.values())
+    assert [urls[k] for k in sorted(got) if (got[k].verdict == "block") != urls[k][0]] == []
+
+
 def test_mixing_reaches_targets(spark, docs):
     got = mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
     assert len(got) == len(copies())
