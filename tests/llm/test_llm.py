@@ -296,6 +296,29 @@ def test_html_main_text(spark):
     assert (got[100], got[101], got[102], got[103]) == ("", "", "T\na b c\n1\n2", "open text <")
 
 
+def html_texts(spark, pages):
+    return {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_templates_go_wherever_they_stand(spark):
+    menu = "<div><span>Home of the site</span></div>"
+    twice = html_texts(spark, [(k, "http://h.org/1", f"<body>{menu}<div><p>Own text {k}</div><section>{menu}</section></body>") for k in range(8)])
+    assert [twice[k] for k in range(8)] == [f"Own text {k}" for k in range(8)]
+
+
+def test_html_templates_are_counted_over_pages_without_article(spark):
+    menu = "<div><span>Home of the site</span></div>"
+    pages = [(k, "http://h.org/1", f"<body>{menu}<div><p>Own text {k}</div></body>") for k in range(6)]
+    got = html_texts(spark, pages + [(k, "http://h.org/1", f"<body>{menu}<article>Post {k}</article></body>") for k in range(100, 214)])
+    assert [got[k] for k in range(6)] == [f"Own text {k}" for k in range(6)] and got[100] == "Post 100"
+
+
+def test_html_copies_of_a_page_are_no_template(spark):
+    copies = [(k, "http://h.org/1", f"<head><title>{k}</title></head><body><script>t({k})</script><div><p>The same main text</div></body>") for k in range(8)]
+    got = html_texts(spark, copies + [(k, "http://h.org/1", f"<body><div><p>Own text {k}</div></body>") for k in range(100, 120)])
+    assert {got[k] for k in range(8)} == {"The same main text"} and got[100] == "Own text 100"
+
+
 def test_quality_rules(spark, docs):
     def brute(text):
         w = [x for x in (text or "").encode().split()]
