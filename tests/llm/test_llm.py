@@ -319,6 +319,24 @@ def test_html_copies_of_a_page_are_no_template(spark):
     assert {got[k] for k in range(8)} == {"The same main text"} and got[100] == "Own text 100"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><body><p>Main text</p></body></html>", "Main text"),
+        ("<head><meta charset=utf-8><title>T</title>\n<style>p{}</style>\n<p>Main text", "Main text"),
+        ("<head><title>T</title>\nMain text", "Main text"),
+        ("<head><title>T</title><body><article><p>Main text</article>", "Main text"),
+        ("<body><main><h1>H</h1><p>Main text</p><article class=card>Teaser</article></main></body>", "H\nMain text\nTeaser"),
+        ("<body><div role=main><p>Main text</p></div><article>Teaser</article></body>", "Main text\nTeaser"),
+        ("<body><main><nav>no</nav><article>One</article><article>Two</article></main></body>", "One\nTwo"),
+        ("<body><div id=main><p>beside</p><article>One</article></div></body>", "One"),
+        ("<body><main></main><article>One</article></body>", "One"),
+    ],
+)
+def test_html_open_head_and_main_beside_articles(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_quality_rules(spark, docs):
     def brute(text):
         w = [x for x in (text or "").encode().split()]
