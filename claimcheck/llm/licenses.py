@@ -22,6 +22,13 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "LGPL-text": "under the terms of the GNU Lesser General Public License",
+    "AGPL-text": "under the terms of the GNU Affero General Public License",
+    "CC0-1.0": "CC0 1.0 Universal",
+    "CC0-text": "has waived all copyright and related or neighboring rights to",
+    "All-rights-reserved": "All rights reserved.",
+    "Proprietary": "Proprietary and confidential.",
+    "Proprietary-text": "Unauthorized copying of this file, via any medium, is strictly prohibited",
 }
 
 SHINGLE = 5
@@ -35,9 +42,8 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shingles(words: Column) -> Column:
-    width = F.least(F.size(words), F.lit(SHINGLE))
-    return F.when(F.size(words) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda k: F.xxhash64(F.slice(words, k, width))))).otherwise(F.array().cast("array<bigint>"))
+def _shingles(words: Column, width: int) -> Column:
+    return F.when(F.size(words) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda k: F.xxhash64(F.slice(words, k, F.lit(width)))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def n_bands(window_shingles: int, template_shingles: int, containment: int = CONTAINMENT, miss: float = MISS) -> int:
@@ -83,7 +89,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     """docs (doc_id, text) -> (doc_id, license, at, n_shared, n_template) for each template that a document contains.
 
     Words are letters and digits of any script, lower-cased. Windows are twice as long as the longest template of a
-    length class and overlap by half, so a template lies in one whole; a window with too few of its shingles is no match
+    length class and overlap by half, so a template lies in one whole. Shingles have SHINGLE words, for templates of fewer
+    words as many as the template has, so that a short template is found inside a longer text. A window with too few of its shingles is no match
     even if the document has the rest elsewhere. A document names a template once, with its best window and, of equal
     ones, the first (`at` is the window's first word). Texts without any of key_words() cannot match and are not cut into
     windows. Null and empty texts match nothing; rows are judged one by one; repeated rows give repeated results only if
@@ -92,20 +99,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     spark = docs.sparkSession
     known = _template_words(spark, TEMPLATES if templates is None else templates)
     keys = key_words(known, containment)
-    classes: dict[int, list[str]] = {}
+    classes: dict[tuple[int, int], list[str]] = {}
     for name, words in known.items():
-        classes.setdefault(1 << max(3, math.ceil(math.log2(len(words)))), []).append(name)
+        classes.setdefault((1 << max(3, math.ceil(math.log2(len(words)))), min(SHINGLE, len(words))), []).append(name)
     docs = docs.select("doc_id", "text")
     likely = docs.where(F.rlike(F.lower(F.coalesce("text", F.lit(""))), F.lit("|".join(keys) or "(?!)"))).select("doc_id", F.xxhash64("text").alias("print"), _words(F.col("text")).alias("w"))
     found = None
-    for reach, names in sorted(classes.items()):
+    for (reach, width), names in sorted(classes.items()):
+        own_keys = key_words({name: known[name] for name in names}, containment)
         starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(reach))
-        windows = likely.where(F.size("w") > 0).select("doc_id", "print", F.explode(F.filter(_windows(starts, reach), lambda x: F.arrays_overlap(x["w"], F.array(*map(F.lit, keys))))).alias("x"))
-        windows = windows.select("doc_id", "print", F.col("x.at").alias("at"), _shingles(F.col("x.w")).alias("own"))
-        sizes = {name: len({tuple(known[name][k : k + SHINGLE]) for k in range(max(1, len(known[name]) - SHINGLE + 1))}) for name in names}
+        windows = likely.where(F.size("w") > 0).select("doc_id", "print", F.explode(F.filter(_windows(starts, reach), lambda x: F.arrays_overlap(x["w"], F.array(*map(F.lit, own_keys))))).alias("x"))
+        windows = windows.select("doc_id", "print", F.col("x.at").alias("at"), _shingles(F.col("x.w"), width).alias("own"))
+        sizes = {name: len({tuple(known[name][k : k + width]) for k in range(len(known[name]) - width + 1)}) for name in names}
         bands = max(n_bands(2 * reach, size, containment) for size in sizes.values())
         rows = [(name, known[name]) for name in names]
-        wanted = spark.createDataFrame(rows, "license string, w array<string>").select("license", _shingles(F.col("w")).alias("asked"))
+        wanted = spark.createDataFrame(rows, "license string, w array<string>").select("license", _shingles(F.col("w"), width).alias("asked"))
         wanted_bands = wanted.select("license", "asked", F.posexplode(_bands(F.col("asked"), bands)).alias("band", "least"))
         met = windows.select("doc_id", "print", "at", "own", F.posexplode(_bands(F.col("own"), bands)).alias("band", "least")).join(F.broadcast(wanted_bands), ["band", "least"])
         verified = met.withColumn("n_shared", F.size(F.array_intersect("own", "asked"))).where(100 * F.col("n_shared") >= containment * F.size("asked"))

@@ -259,6 +259,19 @@ def test_licenses(spark):
     assert licenses.n_bands(60, 20) >= 50 and 1 - (1 - 15 / 65) ** licenses.n_bands(60, 20) >= 1 - 1e-6
 
 
+def test_licenses_of_few_words_inside_long_texts(spark):
+    def found(rows, templates=None):
+        return {(r.doc_id, r.license, r.n_shared, r.n_template) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+
+    own = {"one": "Copyleft", "two": "Beerware license", "three": "All rights reserved.", "four": "Do what you want"}
+    rows = [(k, "some words before " * 100 * k + f"({template})" + " and others after it" * 50) for k, template in enumerate(own.values(), 1)]
+    rows += [(5, "all the rights are reserved " * 40), (6, "reserved rights all"), (7, "All Rights\nReserved"), (8, "do what you")]
+    assert found(rows, own) == {(1, "one", 1, 1), (2, "two", 1, 1), (3, "three", 1, 1), (4, "four", 1, 1), (7, "three", 1, 1)}
+    told = {name: "filler text " * 60 + licenses.TEMPLATES[name] + " filler text" * 60 for name in licenses.TEMPLATES}
+    assert {(k, name) for k, name in enumerate(told)} <= {x[:2] for x in found([(k, text) for k, text in enumerate(told.values())])}
+    assert {"All-rights-reserved", "LGPL-text", "AGPL-text", "CC0-1.0", "Proprietary"} <= set(licenses.TEMPLATES)
+
+
 def test_decontamination_counts(spark):
     item = [f"w{k}é" for k in range(20)]
     bench = spark.createDataFrame([(10, " ".join(item)), (9, "Two Words"), (8, None), (7, "--"), (6, " ".join(item[:13]))], "item_id long, text string")
