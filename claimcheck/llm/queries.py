@@ -218,3 +218,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimcheck.llm.html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
