@@ -158,7 +158,9 @@ FROM (SELECT life.*, p.p_b AS parent_b,
 
 MODEL["person"] = """
 SELECT card, name || '|' || years AS card_key, parent_card, union_idx, child_idx, depth, g, name,
-  years, note, note_fr, mn, mn_fr, headline, headline_fr, bio, bio_fr
+  years, note, note_fr, mn, mn_fr, headline, headline_fr, bio, bio_fr,
+  CASE WHEN k = 0 THEN 'trunk' WHEN k = 2 THEN 'north' WHEN k = 3 THEN 'south' WHEN k = 11 THEN 'hill'
+       WHEN k % 97 = 60 THEN 'lane' || CAST(k AS VARCHAR(20)) WHEN k % 1000 = 23 THEN 'hill' END AS anchor
 FROM prose
 """
 

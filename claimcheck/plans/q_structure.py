@@ -45,7 +45,7 @@ def tree_flatten(m):
 @query("descendant_counts", "person", f"""WITH {WALK}
   SELECT a.card, a.depth, (SELECT count(*) FROM walk b WHERE b.path LIKE a.path || '/%') AS descendants FROM walk a""")
 def descendant_counts(m):
-    return tr.descendant_counts(tr.with_paths(m.person)).select("card", "depth", "descendants")
+    return tr.descendant_counts(m.person).select("card", "depth", "descendants")
 
 
 @query("subtree_filter", "person", f"""WITH {WALK},
@@ -54,7 +54,49 @@ def descendant_counts(m):
     WHERE w.path = h.path OR w.path LIKE h.path || '/%' OR h.path LIKE w.path || '/%')""")
 def subtree_filter(m):
     heads = m.person.where(F.col("name").endswith("Fiora Gravenor")).select("card")
-    return tr.branch_filter(tr.with_paths(m.person), heads).select("card", "path", "depth")
+    return tr.branch_filter(tr.preorder(m.person).withColumn("leave", F.col("idx") + F.col("descendants")).withColumnRenamed("idx", "enter"), heads).select("card", "path", "depth")
+
+
+_BRANCH = """, w AS (WITH RECURSIVE b AS (
+    SELECT card, anchor AS branch, CASE WHEN anchor IS NOT NULL THEN card END AS head FROM person WHERE parent_card IS NULL
+    UNION ALL
+    SELECT p.card, coalesce(p.anchor, b.branch), CASE WHEN p.anchor IS NOT NULL THEN p.card ELSE b.head END
+    FROM person p JOIN b ON p.parent_card = b.card)
+  SELECT * FROM b)"""
+
+
+@query("tree_intervals", "person", f"""WITH {WALK},
+  sized AS (SELECT a.card, a.depth, a.path, (SELECT count(*) FROM walk b WHERE b.path = a.path OR b.path LIKE a.path || '/%') AS size FROM walk a),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY list_transform(string_split(path, '/'), lambda s: CASE WHEN s = 'root' THEN 0 ELSE
+    CAST(regexp_extract(s, 'u(\\d+)', 1) AS INT) * 1000000 + CAST(regexp_extract(s, 'c(\\d+)', 1) AS INT) END)) - 1 AS enter FROM sized)
+  SELECT card, depth, size, enter, enter + size - 1 AS leave FROM numbered""")
+def tree_intervals(m):
+    """Euler-tour intervals of every card."""
+    return tr.tree_intervals(m.person)
+
+
+@query("branch_of", "person", f"WITH one AS (SELECT 1){_BRANCH} SELECT card, head, branch FROM w")
+def branch_of(m):
+    """The branch that each card belongs to."""
+    return tr.branches(m.person)
+
+
+@query("branch_sizes", "person", f"""WITH one AS (SELECT 1){_BRANCH}
+  SELECT branch, head, count(*) AS cards, min(card) AS first_card, max(card) AS last_card FROM w GROUP BY branch, head""")
+def branch_sizes(m):
+    """Cards of each branch without the branches inside it."""
+    return tr.branches(m.person).groupBy("branch", "head").agg(F.count("*").alias("cards"), F.min("card").alias("first_card"), F.max("card").alias("last_card"))
+
+
+@query("anchor_rules", "person", """WITH asked AS (SELECT unnest(['trunk', 'north', 'south', 'hill', 'shore']) AS anchor),
+  carried AS (SELECT anchor, count(*) AS cards FROM person WHERE anchor IS NOT NULL GROUP BY anchor)
+  SELECT coalesce(a.anchor, c.anchor) AS anchor, coalesce(cards, 0) AS cards,
+    CASE WHEN a.anchor IS NULL THEN 'unknown' WHEN cards IS NULL THEN 'missing' WHEN cards > 1 THEN 'ambiguous' ELSE 'ok' END AS verdict
+  FROM asked a FULL JOIN carried c ON a.anchor = c.anchor""")
+def anchor_rules(m):
+    """Required navigation anchors against those that cards carry."""
+    required = m.spark.createDataFrame([(a,) for a in ("trunk", "north", "south", "hill", "shore")], "anchor string")
+    return tr.anchor_rules(m.person, required)
 
 
 _JSON = """'{"name":"O' || o_orderkey || '","years":"' || CAST(1800 + o_orderkey % 90 AS VARCHAR(9)) || '","unions":[{"c":[{"name":"A' || o_orderkey || '"},{"name":"B' || o_orderkey || '","unions":[{"s":"x"},{"c":[{"name":"C' || o_custkey || '","years":"1900"}]}]}]}]}'"""

@@ -149,8 +149,78 @@ def test_tree_numbers_match_a_recursive_walk(spark):
     assert got == want
 
 
-def test_cycle_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(tr, "MAX_ROUNDS", 4)
+def forest(seed=8, n=150):
+    """Cards of several trees, some with parents that are not there, in shuffled order; (card, parent, children in order)."""
+    rnd = random.Random(seed)
+    cards = rnd.sample(range(1000, 9000), n)
+    parent = {c: (None if i % 40 == 0 else 7 if i % 50 == 1 else rnd.choice(cards[max(0, i - 12) : i])) for i, c in enumerate(cards)}
+    kids = {}
+    for c in cards:
+        kids.setdefault(parent[c] if parent[c] in parent else None, []).append(c)
+    kids[None].sort()
+    rows = [(c, parent[c], kids[parent[c]].index(c) // 3 if parent[c] in parent else 0, kids[parent[c]].index(c) % 3 if parent[c] in parent else 5) for c in cards]
+    return rows, kids
+
+
+FOREST = "card long, parent_card long, union_idx int, child_idx int"
+
+
+def test_intervals_of_a_forest_with_missing_parents(spark):
+    rows, kids = forest()
+    want, n = {}, [0]
+
+    def walk(c, depth):
+        enter = n[0]
+        n[0] += 1
+        for k in kids.get(c, []):
+            walk(k, depth + 1)
+        want[c] = (depth, n[0] - enter, enter, n[0] - 1)
+
+    for c in kids[None]:
+        walk(c, 0)
+    got = {r[0]: tuple(r)[1:] for r in tr.tree_intervals(spark.createDataFrame(rows, FOREST)).collect()}
+    assert got == want
+
+
+def test_branch_filter_keeps_nested_heads_and_their_lines(spark):
+    rows, kids = forest(9)
+    parent = {c: p for c, p, *_ in rows}
+
+    def above(c):
+        return [] if parent.get(c) not in parent else [parent[c], *above(parent[c])]
+
+    heads = {c for c, *_ in rows[5::17]} | set(above(rows[-1][0])[:2])
+    want = {c for c in parent if c in heads or heads & set(above(c))} | {a for h in heads for a in above(h)}
+    spans = tr.tree_intervals(spark.createDataFrame(rows, FOREST))
+    kept = [r.card for r in tr.branch_filter(spans, spark.createDataFrame([(h,) for h in [*heads, -5]], "card long")).collect()]
+    assert sorted(kept) == sorted(want) and 0 < len(want) < len(parent)
+    assert tr.branch_filter(spans, spark.createDataFrame([], "card long")).count() == 0
+
+
+def test_sums_and_marks_in_a_long_chain(spark):
+    """One chain of 1,000 cards: rounds grow with the logarithm of its length, rows with the length itself."""
+    n = 1000
+    chain = spark.range(n).selectExpr("id AS card", "CASE WHEN id > 0 THEN id - 1 END AS parent_card", "0 AS union_idx", "0 AS child_idx", "id AS v", "CASE WHEN id % 300 = 5 THEN 'm' || id END AS anchor")
+    sums = {r.card: r.v for r in tr.subtree_sums(chain, "card", "parent_card", ["v"]).collect()}
+    assert all(sums[c] == (n * (n - 1) - c * (c - 1)) // 2 for c in range(n))
+    spans = {r.card: (r.depth, r.size, r.enter, r.leave) for r in tr.tree_intervals(chain).collect()}
+    assert spans == {c: (c, n - c, c, n - 1) for c in range(n)}
+    marks = {r.card: (r.head, r.branch) for r in tr.branches(chain).collect()}
+    assert marks == {c: (None, None) if c < 5 else (h := (c - 5) // 300 * 300 + 5, f"m{h}") for c in range(n)}
+
+
+def test_no_cards_no_tree(spark):
+    empty = spark.createDataFrame([], FOREST + ", anchor string")
+    assert tr.tree_intervals(empty).count() == tr.branches(empty).count() == tr.preorder(empty).count() == 0
+
+
+def test_anchor_rules_name_missing_and_repeated_anchors(spark):
+    people = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None), (5, "x")], "card long, anchor string")
+    got = {tuple(r) for r in tr.anchor_rules(people, spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "anchor string")).collect()}
+    assert got == {("a", 1, "ok"), ("b", 2, "ambiguous"), ("c", 0, "missing"), ("x", 1, "unknown")}
+
+
+def test_cycle_is_an_error(spark):
     loop = [person(1, "A", "1800–1850", 2), person(2, "B", "1800–1850", 1)]
     with pytest.raises(ValueError):
         tr.with_paths(spark.createDataFrame(loop, PERSON))
