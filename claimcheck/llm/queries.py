@@ -225,3 +225,39 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimcheck.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.trie import numbered_turns, prefix_trie, with_shared_openings
+
+    return prefix_trie(with_shared_openings(numbered_turns(table(spark, sf_dir, "conversations")), group=5, openings=9))
+
+
+ORACLES["op12_prefix_trie"] = r"""
+with k as (
+  select conv_id, turn, strlen(coalesce(text, '')) as bytes, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as key from conversations where conv_id is not null
+), t as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, key) - 1 as pos from k
+), g as (
+  select conv_id as c, count(*) as n, conv_id - conv_id % 5 as base, xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda s: unicode(s)::bigint),
+    lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), 4294967295), 4294967295) % 9 as h
+  from t group by conv_id
+), c as (
+  select g.*, least(g.h, coalesce(b.n, 0)) as m from g left join g b on b.c = g.base
+), r as (
+  select c, pos - h + m as pos, key, bytes from t join c on c.c = t.conv_id where pos >= h
+  union all select c, pos, key, bytes from c join t on t.conv_id = c.base where pos < h
+), s as (
+  select c.c, coalesce(list(key order by pos) filter (key is not null), []) as keys, coalesce(list(bytes order by pos) filter (key is not null), []) as sizes from c left join r on r.c = c.c group by c.c
+), p as (
+  select c, d, array_to_string(keys[:d], ' ') as path, array_to_string(keys[:greatest(d, 1) - 1], ' ') as up, keys, case when d > 0 then sizes[d] else 0 end as bytes, len(keys) as n from s, unnest(range(0, len(keys) + 1)) as u(d)
+), v as (
+  select d, path, min(c) as conv_id, any_value(up) as up, count(*) as n_convs, any_value(bytes) as bytes, any_value(keys) as keys, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '')) as ends_sha256 from p group by d, path
+), e as (
+  select a.*, count(b.path) as n_children from v a left join v b on b.d = a.d + 1 and b.up = a.path group by all
+), z as (
+  select a.d, a.path, count(*) filter (e.n_children = 0) as n_leaves, sum((e.n_convs - 1) * e.bytes)::bigint as saved from e, unnest(range(0, e.d + 1)) as u(x), v a where a.d = u.x and a.path = array_to_string(e.keys[:u.x], ' ') group by all
+)
+select e.conv_id, e.d as depth, w.conv_id as parent_conv_id, e.n_convs, e.n_children, z.n_leaves, z.saved as saved_tokens, e.ends_sha256
+from e join z on z.d = e.d and z.path = e.path left join v w on w.d = e.d - 1 and w.path = e.up"""
