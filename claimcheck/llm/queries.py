@@ -261,3 +261,10 @@ with k as (
 )
 select e.conv_id, e.d as depth, w.conv_id as parent_conv_id, e.n_convs, e.n_children, z.n_leaves, z.saved as saved_tokens, e.ends_sha256
 from e join z on z.d = e.d and z.path = e.path left join v w on w.d = e.d - 1 and w.path = e.up"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimcheck.llm.alignment import alignment_stats
+
+    return alignment_stats(table(spark, sf_dir, "documents").select("doc_id", "text"))
