@@ -271,6 +271,41 @@ FROM (SELECT p.*, 0 AS seq FROM part p UNION ALL SELECT q.*, 1 AS seq FROM part
 WHERE p_partkey % 10 = 0
 """
 
+MODEL["legacy"] = f"""
+SELECT CASE WHEN k % 166 = 92 THEN '1000–1001' ELSE years END || '|' || name AS legacy_key, 'value' AS kind, 'years' AS path,
+  CASE WHEN k % 249 = 9 THEN years ELSE {_s('b - 5')} || '–?' END AS value, CAST(NULL AS VARCHAR(20)) AS parent_key
+FROM prose WHERE k % 83 = 9
+UNION ALL
+SELECT years || '|' || name, 'value', 'mn', CASE WHEN k % 2 = 0 THEN 'Was said to live at ' || home END, CAST(NULL AS VARCHAR(20))
+FROM prose WHERE k % 89 = 3
+UNION ALL
+SELECT CASE WHEN k % 194 = 110 THEN years ELSE {_s('b - 30')} || '–?' END || '|' || name, 'phantom', CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)),
+  CASE WHEN k % 291 = 13 THEN '1000–1001|nobody' ELSE years || '|' || name END
+FROM prose WHERE k % 97 = 13
+UNION ALL
+SELECT 'banner ' || r_name, 'banner', 'banner', 'As it was before, ' || r_name, CAST(NULL AS VARCHAR(20)) FROM region
+UNION ALL
+SELECT 'banner ' || r_name, 'banner', 'banner_fr', 'Comme avant, ' || r_name, CAST(NULL AS VARCHAR(20)) FROM region WHERE r_regionkey <> 3
+"""
+
+MODEL["provenance"] = """
+SELECT card, CASE WHEN k < 20 THEN 'grafted' ELSE 'added' END AS tag FROM tree WHERE k = 7 OR k = 12 OR k % 25 = 23
+"""
+
+# angle brackets stand for the braces of JSON, which the SQL formatter would read
+MODEL["op_edit"] = f"""
+SELECT CASE WHEN k % 200 = 104 THEN -1 - card ELSE card END AS card, 1 AS ord, CAST(k % 50 AS BIGINT) AS seq, k,
+  translate(CASE k % 50
+    WHEN 1 THEN '<"path":"mn","expect":"' || CASE WHEN k % 100 = 51 THEN 'Never held' ELSE mn END || '","value":"Moved ' || {_s('k')} || '","why":"a letter">'
+    WHEN 2 THEN '<"path":"mn","expect":null,"value":"First note ' || {_s('k')} || '">'
+    WHEN 4 THEN '<"op":"appendSource","value":<"l":"Deed ' || {_s('k')} || '","u":"https://deeds.example.org/' || {_s('k')} || '">'
+      || CASE WHEN k % 100 = 54 THEN ',"profileValue":<"label":"Deed","label_fr":"Acte","url":"https://deeds.example.org/">' ELSE '' END || '>'
+    WHEN 5 THEN '<"op":"gaz","key":"' || {_s('k % 30')} || '","value":<"n":"Place ' || {_s('k')} || '"' || CASE WHEN k % 3 = 0 THEN ',"lat":' || {_s('k % 90')} ELSE '' END || '>>'
+    WHEN 6 THEN '<"path":"mn_fr","value":null>'
+    ELSE '<"op":"rename","path":"' || 'title' || '">' END, '<>', chr(123) || chr(125)) AS body
+FROM prose WHERE k % 50 IN (1, 2, 4, 5, 6) OR k % 500 = 7
+"""
+
 _DEPS: dict[str, list[str]] = {}
 
 

@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which the driver and all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``. A session in one process may go without
-    that setting and gets a scratch folder; on a cluster it is an error, as executors share no local disk.
+    A session in one process may go without that setting and gets a scratch folder; on a cluster it is an
+    error, as executors share no local disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimcheck-ckpt-"))
+        folder = tempfile.mkdtemp(prefix="claimcheck-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

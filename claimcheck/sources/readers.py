@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimcheck.functions import lexicon as lx
+from claimcheck.session import small_side
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +113,17 @@ def edit_batches(spark: SparkSession, path: str, order: DataFrame) -> DataFrame:
         "card",
         F.posexplode("edits").alias("seq", "e"),
     )
-    return rows.join(F.broadcast(order), "batch").select("batch", "ord", "card", "seq", "e.*")
+    return rows.join(small_side(order), "batch").select("batch", "ord", "card", "seq", "e.*")
+
+
+def typed_edit_batches(spark: SparkSession, path: str, order: DataFrame) -> DataFrame:
+    """Edit files of any op in batch order, as (batch, ord, card, seq, edit VARIANT) for ``typed_edits``.
+
+    Values keep their JSON type, and a null stays apart from what is left out. Files without an order are skipped.
+    """
+    raw = spark.read.option("multiLine", True).schema("card string, edits array<variant>").json(path)
+    rows = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("batch"), "card", F.posexplode("edits").alias("seq", "edit"))
+    return rows.join(small_side(order), "batch").select("batch", "ord", "card", F.col("seq").cast("long").alias("seq"), "edit")
 
 
 def harvest_labels(docs: DataFrame, column: str) -> DataFrame:

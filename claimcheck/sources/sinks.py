@@ -35,6 +35,9 @@ def write_edits(edits: DataFrame, path: str) -> None:
     edits.where(~F.col("skipped")).drop("skipped").write.mode("overwrite").json(path)
 
 
-def write_diff(diff: DataFrame, places: DataFrame, path: str) -> None:
+def write_diff(diff: DataFrame, places: DataFrame, path: str, legacy: DataFrame | None = None) -> None:
+    """Changed cards, changed places and, where given, the one row that says whether the reversions changed."""
     diff.write.mode("overwrite").parquet(f"{path}/cards")
     places.write.mode("overwrite").parquet(f"{path}/places")
+    if legacy is not None:
+        legacy.write.mode("overwrite").parquet(f"{path}/legacy")
