@@ -7,6 +7,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -21,15 +22,17 @@ SHARD, SLICE = 1 << 16, 1 << 22
 #: So many count vectors of a shard are summed at each step of the tree.
 FAN = 16
 #: A task remembers the alignment of so many pieces of text, and so many characters of them, before it starts anew.
-PIECES, PIECE_CHARS = 300_000, 1 << 23
+PIECES, PIECE_CHARS = 1 << 19, 1 << 23
 #: Texts are worked on in runs of so many characters.
 RUN = 1 << 21
 
 # The pattern that splits text for the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = "▁"
-#: Two white spaces in a row, or a space at the end: what may be cut differently when a text is taken apart.
-_UNSAFE = re.compile(r"\s\s| $")
+#: Two white spaces in a row may be cut differently when a text is taken apart: the usual ones, and where there are others any two.
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+_OTHER = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ANY_DOUBLE = re.compile(r"[\s]\s")
 #: Characters whose class may differ between versions of Unicode.
 _UNUSUAL = re.compile("[^\x00-ӿ‐-‧€]")
 
@@ -91,20 +94,52 @@ class Vocabulary:
 
     def cut(self, text: str) -> list[str] | None:
         """Pieces of " " + text that both tokenizers treat apart, each without its leading space; None if it has to stay whole."""
-        if not self.separable or _UNSAFE.search(text) or text[0].isspace():
+        if not self.separable or text[0].isspace() or text[-1] == " " or any(d in text for d in _DOUBLE):
+            return None
+        if _OTHER.search(text) and _ANY_DOUBLE.search(text):
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
+    def encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids."""
         if self.fast is None:
-            return [x.ids for x in self.plain.encode_batch(texts, add_special_tokens=False)]
+            return _flat([x.ids for x in self.plain.encode_batch(texts, add_special_tokens=False)])
         encode, unusual = self.fast.encode_ordinary, _UNUSUAL.search
-        return [self.plain.encode(t, add_special_tokens=False).ids if unusual(t) else encode(t) for t in texts]
-
-    def encode_b(self, texts: list[str], spaced: list[bool]) -> list[list[int]]:
-        """Ids of each text with the space that the tokenizer puts in front; where not spaced, without it."""
+        if not unusual("".join(texts)):
+            return _flat(list(map(encode, texts)))
+        return _flat([self.plain.encode(t, add_special_tokens=False).ids if unusual(t) else encode(t) for t in texts])
+
+    def encode_pieces(self, whole: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_a of pieces by cut, of `sizes` bytes, in longer stretches: where one ends and the next begins no token goes on.
+
+        That holds where no two white spaces meet, so pieces that end with one are encoded alone.
+        """
+        alone = np.fromiter((w[-1].isspace() for w in whole), bool, len(whole))
+        if self.fast is None or alone.all() or _UNUSUAL.search("".join(whole)):
+            return self.encode_a(whole)
+        kept = [w for w, x in zip(whole, alone, strict=True) if not x] if alone.any() else whole
+        flat = _flat([self.fast.encode_ordinary("".join(kept[k : k + 1000])) for k in range(0, len(kept), 1000)])[1]
+        ends = np.cumsum(sizes[~alone])
+        n = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.a_len[flat]), ends) + 1])
+        if not alone.any():
+            return n, flat
+        n_alone, flat_alone = self.encode_a([w for w, x in zip(whole, alone, strict=True) if x])
+        both = np.zeros(len(whole), np.int64)
+        both[~alone], both[alone] = n, n_alone
+        of = np.repeat(alone, both)
+        ids = np.empty(len(of), np.int64)
+        ids[~of], ids[of] = flat, flat_alone
+        return both, ids
+
+    def encode_b(self, texts: list[str], spaced: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_a, with the space that the tokenizer puts in front of each text; where not spaced, without it."""
         found = self.pieces.encode(texts, num_threads=1)
-        return [ids if s or ids[0] != self.space else ids[1:] for s, ids in zip(spaced, found, strict=True)]
+        return _flat(found if all(spaced) else [ids if s or ids[0] != self.space else ids[1:] for s, ids in zip(spaced, found, strict=True)])
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return n, np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum()))
 
 
 class Aligned(NamedTuple):
@@ -119,25 +154,35 @@ class Aligned(NamedTuple):
     groups: list[str]
 
 
-def align(v: Vocabulary, texts: list[str], spaced: list[bool], with_groups: bool) -> Aligned:
+def _spelled(token_bytes: list[bytes], token_len: np.ndarray, n: np.ndarray, ids: np.ndarray, want: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Whether the tokens of each text spell it: all at once, or one by one if anything differs."""
+    ends = np.cumsum(n)
+    spelled = np.r_[0, np.cumsum(token_len[ids])][ends]
+    if np.array_equal(spelled, np.cumsum(size)) and b"".join(map(token_bytes.__getitem__, ids.tolist())) == b"".join(want):
+        return np.ones(len(want), bool)
+    stops = np.r_[0, ends].tolist()
+    return np.array([b"".join(map(token_bytes.__getitem__, ids[s:e].tolist())) == w for s, e, w in zip(stops, stops[1:], want, strict=False)], bool)
+
+
+def align(v: Vocabulary, texts: list[str], spaced: list[bool], with_groups: bool, pieces: bool = False) -> Aligned:
     """Alignments of texts, put behind a space where spaced. right is false where the tokens do not spell the text.
 
+    pieces: the texts are pieces by Vocabulary.cut.
+
     Between two neighbouring token ends one A and one B token overlap: each such stretch is a link. Ends of both cut groups.
     """
     whole = [" " + t if s else t for t, s in zip(texts, spaced, strict=True)]
-    ids = v.encode_a(whole), v.encode_b(texts, spaced)
     want = [w.encode() for w in whole]
-    n = [np.fromiter(map(len, x), np.int64, len(x)) for x in ids]
-    flat = [np.fromiter((i for x in lists for i in x), np.int64, int(k.sum())) for lists, k in zip(ids, n, strict=True)]
-    right = np.array([b"".join(map(v.a_bytes.__getitem__, a)) == w == b"".join(map(v.b_bytes.__getitem__, b)) for a, b, w in zip(*ids, want, strict=True)], bool)
+    size = np.fromiter(map(len, want), np.int64, len(want))
+    (n_a, a), (n_b, b) = v.encode_pieces(whole, size) if pieces else v.encode_a(whole), v.encode_b(texts, spaced)
+    right = _spelled(v.a_bytes, v.a_len, n_a, a, want, size) & _spelled(v.b_bytes, v.b_len, n_b, b, want, size)
     if not right.all():
-        flat = [x[np.repeat(right, k)] for x, k in zip(flat, n, strict=True)]
-        n = [np.where(right, k, 0) for k in n]
-    (a, b), (n_a, n_b) = flat, n
-    end_a, end_b = np.cumsum(v.a_len[a]), np.cumsum(v.b_len[b])
-    end = np.cumsum(np.where(right, np.fromiter(map(len, want), np.int64, len(want)), 0))
-    cuts = np.union1d(end_a, end_b)
-    both = np.intersect1d(end_a, end_b, assume_unique=True)
+        a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+        n_a, n_b, size = (np.where(right, x, 0) for x in (n_a, n_b, size))
+    end_a, end_b, end = np.cumsum(v.a_len[a]), np.cumsum(v.b_len[b]), np.cumsum(size)
+    cuts = np.sort(np.r_[end_a, end_b], kind="stable")
+    twice = np.r_[False, cuts[1:] == cuts[:-1]]
+    both, cuts = cuts[twice], cuts[~twice]
     pairs = a[np.searchsorted(end_a, cuts)] * v.n_b + b[np.searchsorted(end_b, cuts)]
     n_links = np.bincount(np.searchsorted(end, cuts), minlength=len(texts))
     n_groups = np.bincount(np.searchsorted(end, both), minlength=len(texts))
@@ -170,14 +215,14 @@ class _Pieces:
     def full(self) -> bool:
         return len(self.at) > PIECES or self.chars > PIECE_CHARS
 
-    def rows(self, texts: list[str], spaced: list[bool]) -> tuple[np.ndarray, Aligned]:
+    def rows(self, texts: list[str], spaced: list[bool], pieces: bool = False) -> tuple[np.ndarray, Aligned]:
         """(right, n_a, n_b, n_groups, n_links, n_best, count_sum) of each text, and the alignment itself."""
-        found = align(self.v, texts, spaced, self.with_groups)
+        found = align(self.v, texts, spaced, self.with_groups, pieces)
         more = self.score(found.pairs, found.n_links) if self.score else np.zeros((len(texts), 2), np.int64)
         return np.column_stack([found.right, found.n_a, found.n_b, found.n_groups, found.n_links, more]), found
 
     def learn(self, new: list[str]) -> None:
-        rows, found = self.rows(new, [p[0] != "\n" for p in new])
+        rows, found = self.rows(new, [p[0] != "\n" for p in new], pieces=True)
         first = len(self.at)
         self.at.update(zip(new, range(first, first + len(new)), strict=True))
         while len(self.numbers) < first + len(new):

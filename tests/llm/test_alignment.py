@@ -113,11 +113,14 @@ def test_pieces_give_the_tokens_of_whole_texts():
     for _, text in texts(9):
         pieces = v.cut(text) if text and alignment.SPACE not in text else None
         if pieces:
-            spaced = [" " + p if p[0] != "\n" else p for p in pieces]
-            assert "".join(spaced) == " " + text
+            spaced = [p[0] != "\n" for p in pieces]
+            whole = [" " + p if s else p for p, s in zip(pieces, spaced, strict=True)]
+            assert "".join(whole) == " " + text
             a, b = plain.tokens(text)
-            assert [i for x in v.encode_a(spaced) for i in x] == [i for i, _ in a]
-            assert [i for x in v.encode_b(pieces, [p[0] != "\n" for p in pieces]) for i in x] == [i for i, _ in b]
+            size = np.array([len(w.encode()) for w in whole])
+            assert v.encode_a(whole)[1].tolist() == v.encode_pieces(whole, size)[1].tolist() == [i for i, _ in a]
+            assert v.encode_a(whole)[0].tolist() == v.encode_pieces(whole, size)[0].tolist()
+            assert v.encode_b(pieces, spaced)[1].tolist() == [i for i, _ in b]
 
 
 def test_perfect_hash_is_minimal_and_perfect(spark):
