@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import WORD, stored
+from claimcheck.llm.common import WORD, discard, stored
 from claimcheck.llm.components import components
 
 #: Shingles are counted within runs of so many; a shingle in two documents of one run is reported to the global count.
@@ -274,6 +274,8 @@ def jaccard_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
 
     longer = met.where("nb is null").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n"), F.lit(None).cast("long").alias("home"))
     frequent = stored(prefixes.select(F.explode("frequent").alias("token"), "node", "n", "home").union(longer).distinct())
+    discard(met)
+    discard(prefixes)
     members = frequent.groupBy("node").agg(F.coalesce(F.max("home"), F.min("token")).alias("home"), F.max("n").alias("n"))
     members = members.withColumn("size_class", F.floor(F.log(F.col("n")) / F.lit(CLASS_WIDTH * float(np.log(100 / how.percent)))))
     parts = members.groupBy("home", "size_class").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
@@ -298,6 +300,7 @@ def jaccard_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
     asked = spark.sparkContext.broadcast(asked.view(np.uint64))
     read = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(lambda it: _sets(it, how.size, asked.value), "node long, shingles array<long>")
     sets = stored(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    discard(wanted)
 
     verified = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
