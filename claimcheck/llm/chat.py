@@ -128,6 +128,19 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """All text under the loss, unescaped, in order."""
-    texts = F.zip_with(read_turns(formatted), F.sequence(F.lit(0), F.greatest(F.size(mask) / 3, F.lit(1)).cast("int") - 1), lambda t, k: F.when(F.get(mask, 3 * k + 1)["loss"], t["text"]).otherwise(F.lit("")))
-    return F.array_join(texts, "")
+    """All text under the loss, unescaped, in order: formatted is cut where the running sum of the mask's lengths says.
+
+    The text is held in blocks of 1,024 characters, so that a cut reads its own blocks and not the text from its start.
+    """
+
+    def step(state: Column, run: Column) -> Column:
+        at, length = state["at"], run["length"]
+        first = F.shiftright(at, 10)
+        blocks = F.slice(state["blocks"], first + 1, F.shiftright(at + length - 1, 10) - first + 1)
+        piece = F.substring(F.array_join(blocks, ""), at.bitwiseAND(1023) + 1, length)
+        taken = F.when(run["loss"] & (length > 0), F.concat(state["parts"], F.array(piece))).otherwise(state["parts"])
+        return F.struct((at + length).alias("at"), taken.alias("parts"), state["blocks"].alias("blocks"))
+
+    blocks = F.regexp_extract_all(formatted, F.lit("(?s).{1,1024}"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"), blocks.alias("blocks"))
+    return unescape(F.array_join(F.aggregate(mask, start, step, lambda state: state["parts"]), ""))

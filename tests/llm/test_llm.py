@@ -249,6 +249,19 @@ def test_chat_layouts_and_escapes(spark):
     assert [r.layout for r in out[9:]] == [None, None, None] and all(not r.turns for r in out[9:])
 
 
+def test_chat_loss_is_cut_by_the_mask(spark):
+    turns = [("user", "q#"), ("assistant", "a<\\" + "é😀" * 3000), ("assistant", ""), ("user", "z" * 5000), ("assistant", "end")]
+    frame = spark.createDataFrame([(0, turns), (1, []), (2, [("user", "only")])], "id int, turns array<struct<role:string,text:string>>")
+    out = chat.format_turns(frame).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("mask"))).orderBy("id")
+    rows = out.collect()
+    assert [r.loss for r in rows] == ["".join(t for role, t in turns if role == "assistant"), "", ""]
+    shifted = F.transform("mask", lambda m, k: F.struct((m["length"] + F.when(k == 0, 1).otherwise(0)).alias("length"), m["loss"].alias("loss")))
+    assert out.select(chat.read_loss(F.col("formatted"), shifted).alias("loss")).first().loss != rows[0].loss
+    cut = F.array(F.struct(F.lit(1025).alias("length"), F.lit(False).alias("loss")), F.struct(F.lit(2048).alias("length"), F.lit(True).alias("loss")), F.struct(F.lit(3).alias("length"), F.lit(True).alias("loss")))
+    text = "".join(chr(97 + k % 26) for k in range(4000))
+    assert spark.range(1).select(chat.read_loss(F.lit(text), cut).alias("loss")).first().loss == text[1025:3076]
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT-text"]
     gone = mit.split()
@@ -350,6 +363,40 @@ def test_html_open_head_and_main_beside_articles(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article class="post share">Main text</article>', "Main text"),
+        ('<article><p class="search-algorithms">On search</p><p class="related">On kin</p><p class="notice">On notice</p></article>', "On search\nOn kin\nOn notice"),
+        ('<div class="header-image-post"><p>Main text</p></div>', "Main text"),
+        ('<div class="header"><article>Main text</article></div>', "Main text"),
+        ('<body class="sidebar"><div class="widget"><p>Main text of the page</p><div class="ad">Buy</div></div></body>', "Main text of the page"),
+        ('<article>Post<div class="comment-list-2">Long comment of a reader</div></article>', "Post"),
+        ('<p>Post</p><div class="post-comments"><p>Long comment of a reader</p></div>', "Post"),
+        ('<article>Post<div class="cookie-banner">no</div><div id="ad_1">no</div><div class="social share-buttons">no</div><p class="ad">no</p><div class="side-bar">no</div><div class="privacy-notice">no</div></article>', "Post"),
+        ('<main class="ad"><p>Main text</p></main>', "Main text"),
+    ],
+)
+def test_html_class_words_do_not_eat_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_html_templates_beyond_the_broadcast_bound(spark, monkeypatch):
+    menu = "<div><span>Home of the site</span></div>"
+    long = "word " * 200_000
+    pages = [(k, f"http://h{k % 2}.org/1", f"<body>{menu}<div><p>Own text {k}</div></body>") for k in range(40)] * 2 + [(None, None, None), (99, "http://h1.org", f"<p>{long}")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("_salt", F.lit("x")).withColumn("templates", F.lit(1))
+
+    def texts():
+        return sorted((-1 if r.page_id is None else r.page_id, r.url or "", r.text) for r in html_text.extract_text(frame).collect())
+
+    by_broadcast = texts()
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert texts() == by_broadcast and len(by_broadcast) == 82
+    assert by_broadcast[1] == by_broadcast[2] == (0, "http://h0.org/1", "Own text 0") and by_broadcast[-1][2] == long.strip()
+    assert html_text.extract_text(frame.limit(0)).count() == 0
+
+
 def test_quality_rules(spark, docs):
     def brute(text):
         w = [x for x in (text or "").encode().split()]
