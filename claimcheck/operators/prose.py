@@ -335,33 +335,56 @@ def overlap_score() -> Column:
     return 5 * _shared("d") + 3 * _shared("y") + 2 * _shared("t") + _shared("n") + _shared("n2")
 
 
+#: Two sentences state the same fact when what they share weighs so much.
+LEAST_SCORE = 10
+#: Sentences of a card that hold one token are laid into blocks of about so many; a task's key is a pair of blocks.
+BLOCK = 1024
+
+
+def prefix_tokens(bags: DataFrame) -> DataFrame:
+    """(card, uid, prefix): the tokens (n, token) at which a sentence has to be met, rarest in the card first.
+
+    Tokens are in one order for the whole card: by the number of its sentences that hold them. What two sentences share
+    weighs at least LEAST_SCORE only if the first token they share, in that order, has tokens of such a weight from there on in
+    either sentence. So a sentence is met at these tokens alone, seldom at a frequent one, and not at all if everything it
+    holds weighs less.
+    """
+    rows = token_rows(bags, "card", "lang", "uid").distinct()
+    counts = rows.groupBy("card", "lang", "token").agg(F.count("*").alias("n"))
+    held = rows.join(counts, ["card", "lang", "token"]).groupBy("card", "uid").agg(F.sort_array(F.collect_list(F.struct("n", "token", "w"))).alias("held"), F.sum("w").alias("left"))
+
+    def step(state: Column, x: Column) -> Column:
+        taken = F.when(state["left"] >= LEAST_SCORE, F.concat(state["prefix"], F.array(F.struct(x["n"].alias("n"), x["token"].alias("token"))))).otherwise(state["prefix"])
+        return F.struct((state["left"] - x["w"]).alias("left"), taken.alias("prefix"))
+
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<struct<n:bigint,token:string>>").alias("prefix"))
+    return held.where(F.col("left") >= LEAST_SCORE).select("card", "uid", F.aggregate("held", start, step, lambda state: state["prefix"]).alias("prefix"))
+
+
 def hedge_vs_flat(fields: DataFrame) -> DataFrame:
     """A fact doubted in one field and stated flat in another field of the same card.
 
-    A pair needs a shared topic word and a shared date or name, so both sides are keyed by
-    (card, language, topic word, date or name): unrelated sentences of one card never meet.
-    A pair sharing several keys is kept on its smallest key only.
+    A pair needs a shared topic word, a shared date or name, and a score that bounds where the two can meet: at their
+    prefix tokens, see prefix_tokens. A pair sharing several of them is kept at the first. A token of many sentences is
+    dealt out in pairs of blocks.
     """
     skip = ["srclabel", "psource", "doctr", "srcquote"]
     units = cd.units(fields.where(~F.col("kind").isin(skip)))
-    bags = token_bags(units).withColumn("keys", F.array_union("d", "n"))
-    bags = cut_lineage(bags.where((F.size("t") > 0) & (F.size("keys") > 0)))
+    bags = token_bags(units).withColumn("uid", F.xxhash64("lang", "path", "ord", "sentence"))
+    bags = cut_lineage(bags.where((F.size("t") > 0) & (F.size(F.array_union("d", "n")) > 0)))
+    met_at = prefix_tokens(bags)
     bags = bags.withColumn("hedged", tx.is_hedged(F.col("sentence"), F.col("lang"))).withColumn(
         "short", F.col("kind").isin(lx.SHORT_KINDS)
     )
-    keep = ["card", "lang", "path", "ord", "sentence", "short", "d", "y", "n", "n2", "t", "keys"]
-
-    def keyed(df, name):
-        out = df.select(*keep).select(F.struct(*keep).alias(name), "t", "keys", F.explode("t").alias("tk"))
-        return out.select(
-            name,
-            F.col(f"{name}.card").alias("card"),
-            F.col(f"{name}.lang").alias("lang"),
-            "tk",
-            F.explode("keys").alias("fk"),
-        )
 
-    doubted = keyed(bags.where(F.col("hedged")), "a")
+    def keyed(df, name, own, other, *also):
+        row = F.struct("path", "ord", "short", "d", "y", "n", "n2", "t", "prefix", *also)
+        blocks = F.ceil(F.col("at.n") / BLOCK).cast("int")
+        out = df.join(met_at, ["card", "uid"]).withColumns({"ats": F.col("prefix"), "prefix": F.col("prefix.token")})
+        out = out.select(row.alias(name), "card", "lang", "uid", F.explode("ats").alias("at"))
+        return out.select(name, "card", "lang", F.col("at.token").alias("token"), F.pmod("uid", blocks).cast("int").alias(own), F.explode(F.sequence(F.lit(0), blocks - 1)).alias(other))
+
+    doubted = keyed(bags.where(F.col("hedged")), "a", "block_a", "block_b", "sentence")
     flat = keyed(
         bags.where(
             ~F.col("hedged")
@@ -369,20 +392,17 @@ def hedge_vs_flat(fields: DataFrame) -> DataFrame:
             & ~F.col("alt")
             & rx.matches(F.col("sentence"), lx.ASSERTIVE)
         ),
-        "b",
+        "b", "block_b", "block_a",
     )
-
-    def least(c):
-        return F.array_min(F.array_intersect(F.col(f"a.{c}"), F.col(f"b.{c}")))
-
-    met = doubted.join(flat, ["card", "lang", "tk", "fk"]).where(
+    first_met = F.get(F.filter("a.prefix", lambda x: F.array_contains(F.col("b.prefix"), x)), F.lit(0))
+    met = doubted.join(flat, ["card", "lang", "token", "block_a", "block_b"]).where(
         (F.col("a.path") != F.col("b.path"))
         & (F.col("a.short") | F.col("b.short"))
-        & (F.col("tk") == least("t"))
-        & (F.col("fk") == least("keys"))
+        & (F.col("token") == first_met)
+        & (_shared("t") >= 1)
     )
     same_fact = (_shared("d") >= 1) | ((_shared("y") >= 1) & (_shared("n") >= 1)) | (_shared("n") >= 2)
-    scored = met.withColumn("score", overlap_score()).where(same_fact & (F.col("score") >= 10))
+    scored = met.withColumn("score", overlap_score()).where(same_fact & (F.col("score") >= LEAST_SCORE))
     first = scored.groupBy("card", F.col("a.path").alias("pa"), F.col("b.path").alias("pb")).agg(
         F.min(F.struct(F.col("a.ord").alias("oa"), F.col("b.ord").alias("ob"), "score", F.col("a.sentence").alias("sent"), "lang")).alias("f")
     )

@@ -18,6 +18,7 @@ from claimcheck.operators import privacy as pv
 from claimcheck.operators import prose as pr
 from claimcheck.operators import structure as st
 from claimcheck.operators import tree as tr
+from claimcheck.operators.nearest import nearest_pairs
 from claimcheck.plans.suite import CHECKS, run_checks
 
 PERSON = (
@@ -324,3 +325,53 @@ def test_repeated_keys_stand_for_their_last_card(spark):
     kept, repeated = ch.latest_by_key(people)
     assert {tuple(r) for r in kept.select("card", "card_key").collect()} == {(5, "a|1"), (2, "b|2")}
     assert [tuple(r) for r in repeated.collect()] == [("a|1", 2)]
+
+
+def test_doubt_meets_certainty_through_blocks(spark, monkeypatch):
+    """Many sentences of one card: the same pairs whatever the blocks, and the pairs of a plain comparison."""
+    notes = [f"He was perhaps born on {1 + k % 3} May 1820 at Dover in the parish of Wye." for k in range(6)]
+    flats = [f"He was born on {1 + k % 4} May 1820 at Dover. He was baptised at Wye in 18{40 + k}." for k in range(9)]
+    t = tables(spark, [person(k, "Anna Stone", "1820–1890", note=note, bio=flats) for k, note in enumerate(notes, 1)])
+
+    def found():
+        return sorted((r["card"], r["sev"], r["path"], r["msg"]) for r in pr.hedge_vs_flat(cd.fields(t)).collect())
+
+    plain = found()
+    monkeypatch.setattr(pr, "BLOCK", 2)
+    assert found() == plain
+    expected = {(k + 1, f"bio[{j}] ↔ note") for k in range(6) for j in range(9) if k % 3 == j % 4}
+    assert {(card, " ↔ ".join(sorted(path.split(" ↔ ")))) for card, _, path, _ in plain} >= expected
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_pairs_of_places(spark, seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    spots = [(0, k, f"p{k}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(150)]
+    spots += [(1, k, f"p{k}", 48 + rng.uniform(-1, 1), 2 + rng.uniform(-1, 1)) for k in range(150)]
+    spots += [(2, k, f"p{k}", rng.choice([10.0, 10.001]), rng.choice([179.99, -179.99])) for k in range(8)]
+    spots += [(3, 1, "alone", 1.0, 1.0), (4, 1, "a", 0.0, 0.0), (4, 2, "b", 0.0, 1.0), (5, 1, "x", None, 2.0), (5, 2, "y", 3.0, None)]
+    asked = [(card, km, near) for card in range(7) for km, near in ((0.0, 0.5), (7.0, 0.001), (111.0, 1.0), (111.0, 0.1), (9000.0, 0.01), (25000.0, 1.0), (300.0, 90.0))]
+    got = nearest_pairs(
+        spark.createDataFrame(asked + asked[:5], "card int, km double, near double"), spark.createDataFrame(spots, "card int, k int, n string, lat double, lon double")
+    ).collect()
+
+    def km_between(a, b):
+        p, q = np.radians(a[3]), np.radians(b[3])
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(b[4] - a[4]) / 2) ** 2
+        return 2 * 6371.0 * np.arcsin(np.sqrt(h))
+
+    expected = {}
+    for card, km, near in asked:
+        own = [x for x in spots if x[0] == card and None not in x]
+        gaps = sorted(abs(km_between(a, b) - km) for i, a in enumerate(own) for b in own[i + 1 :])
+        if gaps and gaps[0] > near:
+            expected.setdefault((card, km), []).append(gaps[:5])
+    found = {}
+    for r in got:
+        found.setdefault((r["card"], r["km"]), []).append([x["gap"] for x in r["near"]])
+    assert found.keys() == expected.keys() and len(found) > 12
+    for key, gaps in found.items():
+        assert [len(x) for x in gaps] == [len(x) for x in expected[key]]
+        assert np.allclose(np.concatenate(gaps), np.concatenate(expected[key]), atol=1e-6)
