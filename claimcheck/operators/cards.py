@@ -6,10 +6,13 @@ Every function is one pass per input table, with no shuffle.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.functions import text as tx
+from claimcheck.session import written
 
 FIELD_COLUMNS = ["card", "path", "lang", "kind", "text", "i", "alt"]
 
@@ -114,8 +117,37 @@ _MAKERS = {
 }
 
 
+class StoredTexts:
+    """Card tables whose fields and sentences are written once, on first use, for all checks that read them."""
+
+    def __init__(self, tables):
+        self._tables = tables
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self._tables, name)
+
+    @cached_property
+    def all_fields(self) -> DataFrame:
+        return written(fields(self._tables), "fields")
+
+    @cached_property
+    def all_units(self) -> DataFrame:
+        return written(units(self.all_fields), "units")
+
+
+def units_of(t, kinds: list[str] | None = None) -> DataFrame:
+    """The sentences of the fields of these kinds; split once for all checks that share stored texts."""
+    if not isinstance(t, StoredTexts):
+        return units(fields(t, kinds))
+    return t.all_units.where(F.col("kind").isin(sorted(kinds))) if kinds else t.all_units
+
+
 def fields(t, kinds: list[str] | None = None) -> DataFrame:
     """Every non-blank text of a card; ``kinds`` prunes whole input tables before the scan."""
+    if isinstance(t, StoredTexts):
+        return t.all_fields.where(F.col("kind").isin(sorted(kinds))) if kinds else t.all_fields
     wanted = set(kinds or _MAKERS)
     tables = {_MAKERS[k] for k in wanted}
     makers = [

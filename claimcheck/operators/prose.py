@@ -361,15 +361,15 @@ def prefix_tokens(bags: DataFrame) -> DataFrame:
     return held.where(F.col("left") >= LEAST_SCORE).select("card", "uid", F.aggregate("held", start, step, lambda state: state["prefix"]).alias("prefix"))
 
 
-def hedge_vs_flat(fields: DataFrame) -> DataFrame:
+def hedge_vs_flat(fields: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """A fact doubted in one field and stated flat in another field of the same card.
 
     A pair needs a shared topic word, a shared date or name, and a score that bounds where the two can meet: at their
     prefix tokens, see prefix_tokens. A pair sharing several of them is kept at the first. A token of many sentences is
-    dealt out in pairs of blocks.
+    dealt out in pairs of blocks. ``units`` are the sentences of the fields, where a caller has them.
     """
     skip = ["srclabel", "psource", "doctr", "srcquote"]
-    units = cd.units(fields.where(~F.col("kind").isin(skip)))
+    units = (cd.units(fields) if units is None else units).where(~F.col("kind").isin(skip))
     bags = token_bags(units).withColumn("uid", F.xxhash64("lang", "path", "ord", "sentence"))
     bags = cut_lineage(bags.where((F.size("t") > 0) & (F.size(F.array_union("d", "n")) > 0)))
     met_at = prefix_tokens(bags)

@@ -12,10 +12,12 @@ from claimcheck.operators import geometry as ge
 from claimcheck.operators import privacy as pv
 from claimcheck.operators import structure as st
 from claimcheck.operators import tree as tr
-from claimcheck.plans import q_structure, q_text  # noqa: F401  (their SQL is reused below)
+from claimcheck.plans import q_arith, q_evidence, q_structure, q_text  # noqa: F401  (their SQL is reused below)
 from claimcheck.plans import sql_text as sq
+from claimcheck.plans.card_model import oracle_sql
 from claimcheck.plans.registry import ORACLES, query
 from claimcheck.plans.suite import run_checks
+from claimcheck.session import cut_lineage
 
 FN = sq.FIELD_NEEDS
 
@@ -65,6 +67,42 @@ def report_topk(m):
     return fi.report_order(scores, 15).select("card", "score")
 
 
+@query("report_rows", "", f"""WITH {ALL}, s AS (SELECT card, CAST(sum({_W}) AS BIGINT) AS score FROM fnd GROUP BY card)
+  SELECT row_number() OVER (ORDER BY card % 10 = 0 DESC, score DESC, card, {_R}, "check", path, msg) AS "row", "check", sev, card, path, msg FROM fnd JOIN s USING (card)""")
+def report_rows(m):
+    found = cut_lineage(_findings(m))
+    return fi.report_rows(found, fi.card_scores(found, m.customer.where("c_custkey % 10 = 0").selectExpr("c_custkey AS card")))
+
+
+#: Queries whose SQL is over the cards alone; what the others find on cards is spelled out below.
+SUITE = [
+    *STRUCTURE, "tooltip_cards", "hedge_vs_flat", "source_type_unsupported", "census_unsupported", "cross_reference", "source_count", "pin_notes", "pin_vs_prose",
+    "undocumented_pins", "weekday_claims", "age_check", "reversed_years", "pair_parity_missing", "pair_parity_years", "pair_parity_numbers", "pair_parity_hedges",
+    "pair_parity_sentences", "pair_parity_names", "pair_parity_words", "distance_claims", "typography_cards", "process_phrases", "headline_dup", "unused_source",
+    "count_claims", "count_contradiction",
+]
+#: Contracts asked of the cards: the registers of some towns give no day.
+SUITE_CONTRACTS = [
+    *q_evidence.CONTRACTS,
+    {"key": "town-registers", "name": r"\bNATION_1[0-9]\b", "excludes": ["day-date"], "exempt": [], "status": "DRAFT"},
+]
+_LENGTHS = f"""WITH {sq.PAIR} SELECT 'C6' AS "check", 'med' AS sev, card, label AS path, 'length ratio EN/FR ' || CAST(floor(len(en) * 100 / len(fr)) AS BIGINT) || '%' AS msg
+  FROM both_ WHERE len(en) / len(fr) < 0.55 OR len(en) / len(fr) > 1.6"""
+_INTERVALS = """WITH x AS (SELECT card, regexp_extract(bio[2], '[0-9]+ years, from (.+) to ([^.]+)\\.', ['a', 'b']) AS v, regexp_extract(bio[2], '([0-9]+) years, from ', 1) AS n FROM person WHERE contains(bio[2], ' years, from ')),
+  y AS (SELECT card, n, v.a AS a, v.b AS b, CAST(right(v.b, 4) AS INT) - CAST(right(v.a, 4) AS INT) AS val FROM x)
+  SELECT 'C4' AS "check", 'med' AS sev, card, 'bio[1]' AS path, '"' || n || ' years" matches no date pair in the sentence; ' || a || '→' || b || '=' || val || 'y' AS msg FROM y WHERE abs(val - CAST(n AS INT)) > 1"""
+_CONTRACTS_SQL = f"WITH {sq.FIELD}, t AS (SELECT card, path, text FROM f WHERE NOT regexp_matches(path, '^(src|psrc|profile\\.sources)\\[')), {q_evidence.contract_sql(SUITE_CONTRACTS, 't')}"
+_EVERY = " UNION ALL ".join([_union(SUITE), *(f'SELECT "check", sev, card, path, msg FROM ({oracle_sql(FN, body)})' for body in (_LENGTHS, _INTERVALS, _CONTRACTS_SQL))])
+
+
+@query("all_checks", "", f"""WITH fnd AS ({_EVERY}) SELECT row_number() OVER (ORDER BY "check", card, path, msg, sev) AS id, "check", sev, card, path, msg FROM fnd""")
+def all_checks(m):
+    """Every check of the registry over the cards, source contracts included, with ids that reruns give again."""
+    m = m.staged("person", "event", "source", "doc", "union_")
+    m.contracts = SUITE_CONTRACTS
+    return fi.with_ids(run_checks(m))
+
+
 # ------------------------------------------------------------------ dossier
 _PIN = "concat_ws(' ', e.t, '@', p.n, 'c=' || e.c, CASE WHEN x THEN 'x=ALT' END, concat_ws('–', y, y2), d)"
 

@@ -29,13 +29,13 @@ def register_check(name: str):
 
 @register_check("C1")
 def _c1(t):
-    return [pr.hedge_vs_flat(cd.fields(t))]
+    return [pr.hedge_vs_flat(cd.fields(t), cd.units_of(t))]
 
 
 @register_check("C2")
 def _c2(t):
     f, e = cd.fields(t, ev.CITING_KINDS), cd.evidence(t)
-    u = cd.units(f)
+    u = cd.units_of(t, ev.CITING_KINDS)
     return [ev.unsupported_types(u, e), ev.census_unsupported(u, e), ev.cross_reference(u), ev.source_count(f, e)]
 
 
@@ -53,7 +53,7 @@ def _c3d(t):
 @register_check("C4")
 def _c4(t):
     f = cd.fields(t, ar.DATED_KINDS)
-    u = cd.units(f)
+    u = cd.units_of(t, ar.DATED_KINDS)
     return [
         ar.weekday_claims(u), ar.interval_claims(u), ar.age_check(f, t.person, t.union_, t.event), st.reversed_years(t.person),
     ]
@@ -97,7 +97,24 @@ def _x13(t):
     return [ar.count_mismatch(n), ar.count_contradiction(n)]
 
 
+@register_check("S1")
+def _s1(t):
+    """Asked only of tables that come with source contracts."""
+    contracts = vars(t._tables if isinstance(t, cd.StoredTexts) else t).get("contracts")
+    return [ev.contract_findings(cd.fields(t), contracts, t.person)] if contracts else []
+
+
+#: Checks that read no text: alone they need no stored fields.
+TEXTLESS = {"C3d", "C5"}
+
+
 def run_checks(t, only: list[str] | None = None) -> DataFrame:
-    """Findings of the chosen checks; checks left out are never planned."""
+    """Findings of the chosen checks; checks left out are never planned.
+
+    Where several of them read texts, fields and sentences are written to the shared folder once.
+    """
     names = [n for n in CHECKS if only is None or n in only]
-    return fi.union_all([df for n in names for df in CHECKS[n](t)])
+    if len(set(names) - TEXTLESS) > 1:
+        t = cd.StoredTexts(t)
+    parts = [df for n in names for df in CHECKS[n](t)]
+    return fi.union_all(parts or [st.reversed_years(t.person).limit(0)])

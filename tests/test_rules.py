@@ -12,6 +12,7 @@ from claimcheck.operators import arithmetic as ar
 from claimcheck.operators import cards as cd
 from claimcheck.operators import changes as ch
 from claimcheck.operators import dossier as do
+from claimcheck.operators import findings as fi
 from claimcheck.operators import geometry as ge
 from claimcheck.operators import names as nm
 from claimcheck.operators import privacy as pv
@@ -297,7 +298,7 @@ def test_outline_round_trip(spark):
 
 def test_suite_is_pruned(spark):
     t = tables(spark, [person(1, "Anna Stone", "1890–1820")])
-    assert {"C1", "C2", "C3", "C3d", "C4", "C5", "C6", "C7", "C8", "X", "X13"} == set(CHECKS)
+    assert {"C1", "C2", "C3", "C3d", "C4", "C5", "C6", "C7", "C8", "X", "X13", "S1"} == set(CHECKS)
     assert {r["check"] for r in run_checks(t, ["C4"]).collect()} == {"C4"}
 
 
@@ -375,3 +376,31 @@ def test_nearest_pairs_of_places(spark, seed):
     for key, gaps in found.items():
         assert [len(x) for x in gaps] == [len(x) for x in expected[key]]
         assert np.allclose(np.concatenate(gaps), np.concatenate(expected[key]), atol=1e-6)
+
+
+def test_ids_of_findings_are_dense_and_stable(spark):
+    rows_ = [(f"C{k % 7}", "med", k % 11, f"p{k % 5}", f"m{k}") for k in range(500)] + [("C1", "high", None, None, None)] * 3 + [("C9", None, 1, "p", "m")]
+    frame = spark.createDataFrame(rows_, "check string, sev string, card long, path string, msg string")
+    got = [tuple(r) for r in fi.with_ids(frame.repartition(9)).collect()]
+    assert sorted(r[0] for r in got) == list(range(1, len(rows_) + 1))
+    ordered = sorted(rows_, key=lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in (r[0], r[2], r[3], r[4], r[1])))
+    assert [r[1:] for r in sorted(got)] == ordered
+    assert sorted(got) == sorted(tuple(r) for r in fi.with_ids(frame.repartition(2)).collect())
+    assert fi.with_ids(frame.limit(0)).count() == 0
+
+
+def test_stored_texts_give_the_same_sentences(spark):
+    t = tables(spark, [person(1, "Anna Stone", "1820–1890", note="One. Two! Three?", bio=["Four. Five.", None, ""])])
+    shared = cd.StoredTexts(t)
+    for kinds in (None, ["bio"], ["tooltip", "pin"]):
+        for make in (cd.fields, cd.units_of):
+            plain, stored = make(t, kinds), make(shared, kinds)
+            assert plain.columns == stored.columns and sorted(map(str, plain.collect())) == sorted(map(str, stored.collect()))
+    assert shared.person is t.person and shared.all_units is shared.all_units
+
+
+def test_contracts_come_with_the_tables(spark):
+    t = tables(spark, [person(1, "Anna Stone", "1820–1890", bio=["The family site says she was a weaver."])])
+    assert run_checks(t, ["S1", "C5"]).count() == 0
+    t.contracts = [{"key": "family-site", "name": r"\bthe family site\b", "excludes": ["career"], "exempt": []}]
+    assert [(r["check"], r["path"]) for r in run_checks(t, ["S1"]).collect()] == [("S1", "bio[0]")]
