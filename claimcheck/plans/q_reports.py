@@ -267,15 +267,42 @@ def deny_list(m):
 
 
 # ------------------------------------------------------------------ geometry
-_RING = "array(named_struct('lon', x, 'lat', y), named_struct('lon', x + 0.125, 'lat', y - 0.25), named_struct('lon', -x, 'lat', -y))"
 _XY = "CAST((o_orderkey * 37 % 340 - 170) AS DOUBLE) + (o_orderkey % 8) / 8.0 AS x, CAST((o_orderkey * 53 % 140 - 70) AS DOUBLE) + (o_orderkey % 4) / 4.0 AS y"
 _PTS = f"""o AS (SELECT o_orderkey AS id, {_XY} FROM orders), pts AS (SELECT id, 0 AS ring, 0 AS ord, x AS lon, y AS lat FROM o UNION ALL SELECT id, 0, 1, x + 0.125, y - 0.25 FROM o UNION ALL SELECT id, 0, 2, -x, -y FROM o)"""
 
 
+def _code(*steps: str) -> str:
+    """SQL that codes whole numbers of up to 19 bits, written apart from the decoder that it checks."""
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', CAST({} AS INT) + 1, 1)"
+    digits = [
+        f"CASE WHEN n >= {32 ** (j + 1)} THEN {digit.format(f'n div {32**j} % 32 + 32')} WHEN n >= {32**j if j else 0} THEN {digit.format(f'n div {32**j} % 32')} ELSE '' END"
+        for j in range(4)
+    ]
+    zigzag = f"transform(array({', '.join(steps)}), s -> CASE WHEN s < 0 THEN -2 * s - 1 ELSE 2 * s END)"
+    return f"array_join(transform({zigzag}, n -> concat({', '.join(digits)})), '')"
+
+
+_STEPS = f"SELECT *, CAST(x * 1000 AS BIGINT) AS px, CAST(y * 1000 AS BIGINT) AS py FROM (SELECT o_orderkey, o_custkey, {_XY} FROM {{orders}})"
+
+
 def _points(m):
-    rings = m.orders.selectExpr("o_orderkey AS id", *[f"CAST({p.rsplit(' AS ', 1)[0]} AS DOUBLE) AS {p.rsplit(' AS ', 1)[1]}" for p in _XY.split(", ")]).selectExpr("id", f"{_RING} AS ring")
-    encoded = rings.select("id", ge.encode_outline(F.col("ring")).alias("code"))
-    return ge.decode(encoded, "id", "code")
+    steps = m.spark.sql(f"SELECT o_orderkey AS id, px, py, -2 * px - 125 AS bx, -2 * py + 250 AS by_ FROM ({_STEPS})", orders=m.orders)
+    return ge.decode(steps.selectExpr("id", f"{_code('px', 'py', '125L', '-250L', 'bx', 'by_')} AS code"), "id", "code")
+
+
+def _labels(m):
+    before = "lag({0}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"
+    steps = m.spark.sql(f"SELECT *, px - coalesce({before.format('px')}, 0) AS dx, py - coalesce({before.format('py')}, 0) AS dy FROM ({_STEPS})", orders=m.orders)
+    rec = f"concat(o_orderkey % 9, {_code('dx', 'dy')}, '~Town ', o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '~FR' END)"
+    return ge.decode_labels(steps.selectExpr("o_custkey AS layer", "o_orderkey AS pos", f"{rec} AS rec"))
+
+
+_LABELS = f"lab AS (SELECT o_custkey AS layer, o_orderkey AS pos, CAST(o_orderkey % 9 AS INT) AS rank, CAST(x AS DOUBLE) AS lon, CAST(y AS DOUBLE) AS lat, 'Town ' || o_orderkey AS name, CASE WHEN o_orderkey % 13 > 0 THEN 'FR' END AS cc FROM (SELECT o_orderkey, o_custkey, {_XY} FROM orders))"
+
+
+@query("label_decode", "", f"WITH {_LABELS} SELECT layer, pos, rank, lon, lat, name, cc FROM lab")
+def label_decode(m):
+    return _labels(m)
 
 
 @query("geo_decode", "", f"WITH {_PTS} SELECT id, ring, ord, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM pts")
@@ -289,3 +316,19 @@ BOXES = [("north", 10.0, 40.0, 25.0), ("west", -90.0, 0.0, 30.0), ("small", 0.0,
 @query("bbox_counts", "", f"WITH {_PTS} " + " UNION ALL ".join(f"SELECT '{n}' AS box, count(*) FILTER (abs(lon - ({x})) < {d} AND abs(lat - ({y})) < {d}) AS points FROM pts" for n, x, y, d in BOXES))
 def bbox_counts(m):
     return ge.box_counts(_points(m), BOXES)
+
+
+def _layer_sql() -> str:
+    near = [(f"at least 4 labels around {n}", f"greatest(4 - count(*) FILTER (abs(lon - ({x})) < {d} AND abs(lat - ({y})) < {d}), 0)") for n, x, y, d in BOXES]
+    label = [
+        ("label rank is 0 to 6", "count(*) FILTER (rank > 6)"), ("label has a name and a country", "count(*) FILTER (cc IS NULL)"),
+        ("label lies on the globe", "count(*) FILTER (abs(lat) > 90 OR abs(lon) > 180)"), *near,
+    ]
+    outline = [("outline lies on the globe", "count(*) FILTER (abs(lat) > 90 OR abs(lon) > 180.5)"), ("at least 200 rings", "greatest(200 - count(DISTINCT id), 0)")]
+    cell = "SELECT '{}' AS name, '{}' AS scope, {} AS violations, count(*) AS total FROM {}"
+    return " UNION ALL ".join([cell.format(n, "label", v, "lab") for n, v in label] + [cell.format(n, "outline", v, "pts") for n, v in outline])
+
+
+@query("layer_constraints", "", f"WITH {_PTS}, {_LABELS} {_layer_sql()}")
+def layer_constraints(m):
+    return co.check_constraints({"label": _labels(m), "outline": _points(m)}, ge.layer_rules(BOXES, 4, 200))

@@ -296,6 +296,29 @@ def test_outline_round_trip(spark):
     assert [(r["lon"], r["lat"]) for r in out] == [(7.171, 48.032), (-122.44, 45.925), (0.0, -0.001)]
 
 
+def test_outlines_of_many_points_and_broken_ones(spark):
+    rng = random.Random(5)
+    ring = [(rng.randrange(-180_000, 180_001) / 1000, rng.randrange(-90_000, 90_001) / 1000) for _ in range(700)]
+    coded = spark.createDataFrame([(1, ring), (2, ring[:1]), (3, [])], "id int, ring array<struct<lon:double,lat:double>>").select("id", ge.encode_outline("ring").alias("c"))
+    texts = {r["id"]: r["c"] for r in coded.collect()}
+    rows_ = [(1, texts[1] + "|" + texts[2]), (2, None), (3, ""), (4, texts[2] + "g"), (5, "A-A"), (6, "A|C"), (7, "CCE"), (8, "CC\n")]
+    got = ge.decode(spark.createDataFrame(rows_, "id int, c string"), "id", "c").orderBy("id", "ring", "ord").collect()
+    assert [(r["lon"], r["lat"]) for r in got if (r["id"], r["ring"]) == (1, 0)] == ring
+    assert [(r["lon"], r["lat"]) for r in got if (r["id"], r["ring"]) == (1, 1)] == ring[:1]
+    assert [(r["id"], r["ring"], r["ord"], r["lon"], r["lat"]) for r in got if r["id"] > 1] == [(7, 0, 0, 0.001, 0.001)]
+    assert texts[3] == ""
+
+
+def test_labels_of_a_layer(spark):
+    """C is 1, B is -1, gB is 16 after the zig-zag."""
+    layers = spark.createDataFrame([(1, "3CB~Alba~FR\t0gBA~Bruno 2~DE\t9broken\t6BC~Celia"), (2, "1AA~Dario~US"), (3, None)], "id int, t string")
+    got = ge.decode_labels(ge.label_records(layers, "id", "t")).orderBy("layer", "pos").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 0, 3, 0.001, -0.001, "Alba", "FR"), (1, 1, 0, 0.017, -0.001, "Bruno 2", "DE"), (1, 2, None, 0.017, -0.001, None, None),
+        (1, 3, 6, 0.016, 0.0, "Celia", None), (2, 0, 1, 0.0, 0.0, "Dario", "US"),
+    ]
+
+
 def test_suite_is_pruned(spark):
     t = tables(spark, [person(1, "Anna Stone", "1890–1820")])
     assert {"C1", "C2", "C3", "C3d", "C4", "C5", "C6", "C7", "C8", "X", "X13", "S1"} == set(CHECKS)
