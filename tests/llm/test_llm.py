@@ -416,6 +416,39 @@ def test_quality_rules(spark, docs):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_cascade_keeps_what_the_rules_keep(spark, docs):
+    """The lazy cascade gives the rows that the full judgement keeps, in any order of rules and with clashing columns."""
+    clash = docs.withColumns({"_words": F.lit(1), "lines": F.lit("x"), "_row": F.lit(2), "_text": F.lit(3)})
+    want = sorted(map(str, quality.quality_rules(docs).where("kept").select("doc_id", "text").collect()))
+    rules = quality.BASE_RULES + quality.RULES
+    assert 0 < len(want) < len(copies())
+    for order in (rules, rules[::-1]):
+        got = quality.kept_documents(clash, rules=order)
+        assert got.columns == clash.columns
+        assert sorted(map(str, got.select("doc_id", "text").collect())) == want
+    assert quality.kept_documents(docs.limit(0)).count() == 0
+
+
+def test_cascade_asks_no_rule_after_a_rejection(spark):
+    """A rule that fails when it is computed is not reached by documents that an earlier rule rejects."""
+    docs = spark.createDataFrame([("a",), ("",), (None,)], "text string")
+    never = quality.Rule("never", lambda t: F.raise_error(F.lit("computed")).cast("boolean"))
+    few = quality.Rule("few", lambda t: t.n_words < 5)
+    chain = quality._chain([few, never], quality.Text("text", computed=False))
+    assert quality._once(docs, _words=quality.words(F.col("text"))).select(chain.alias("by")).distinct().collect()[0].by == "few"
+
+
+def test_cascade_costs(spark):
+    """Costs come from the work of a rule: looking for repeated windows costs more than counting words; the rest is order."""
+    docs = spark.createDataFrame([(" ".join(f"w{k * i}" for k in range(400)),) for i in range(1, 200)], "text string")
+    rules = quality.BASE_RULES + quality.RULES
+    found = dict(zip((r.name for r in rules), quality.measure(docs, rules), strict=True))
+    assert found["repeated_windows"][1] > 5 * found["too_short"][1]
+    assert all(rejected == 0 for rejected, _ in found.values())
+    assert quality.cascade_order([(0, 5), (10, 100), (10, 10), (0, 1)]) == [2, 1, 3, 0]
+    assert [quality.measure(docs.limit(0), rules)[k] for k in range(2)] == [(0, 0), (0, 0)]
+
+
 def test_pipeline_over_whole_table(spark):
     import corpus_pipeline
 
