@@ -10,12 +10,12 @@ from claimcheck.llm.decontaminate import decontaminate
 from claimcheck.llm.jaccard_join import one_of_each_group
 from claimcheck.llm.line_dedup import line_dedup
 from claimcheck.llm.mixing import mix
-from claimcheck.llm.quality import quality_rules
+from claimcheck.llm.quality import kept_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return kept_documents(docs).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
