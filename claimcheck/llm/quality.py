@@ -12,7 +12,7 @@ from claimcheck.llm.common import words
 
 #: Rules are measured on about so many documents, drawn from all and dealt out to so many tasks.
 SAMPLE, SAMPLE_TASKS = 2_000, 8
-#: Words of a window that is looked for again in the same text.
+#: Words of a window that is looked for again in the same text; a power of two.
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -48,10 +48,21 @@ def _lines(text: Column, _: Column) -> Column:
     return _let(found, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
 
 
+def _next_runs(length: int) -> Callable[[Column], Column]:
+    """From hashes of runs of `length` words at each word to those of runs twice as long."""
+    return lambda h: F.zip_with(h, F.slice(h, length + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+
 def _repeat_words(_: Column, word: Column) -> Column:
-    """Windows are hashed; only where two of a text are equal are they put in order and the words under them counted."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(word) - WINDOW + 1), lambda k: F.xxhash64(F.slice(word, k, WINDOW)))
-    covered = _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(_covered(w)))
+    """Windows are hashed; only where two of a text are equal are they put in order and the words under them counted.
+
+    Hashes of runs of words are paired into those of runs twice as long, so the time grows with the text; cutting out each
+    window by slice() would read the whole text for it.
+    """
+    runs, length = F.transform(word, lambda w: F.xxhash64(w)), 1
+    while length < WINDOW:
+        runs, length = _let(runs, _next_runs(length)), 2 * length
+    covered = _let(F.slice(runs, 1, F.size(word) - WINDOW + 1), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(_covered(w)))
     return F.when(F.size(word) > WINDOW, covered).otherwise(0).cast("long")
 
 
@@ -88,13 +99,23 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _covered(windows: Column) -> Column:
-    """Number of words under the windows whose hash occurs more than once."""
-    at = F.array_sort(F.transform(windows, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
-    nothing = F.array(F.lit(None).cast("struct<h:bigint,k:int>"))
-    next_ = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda x, y: F.struct(x["h"].alias("h"), x["k"].alias("k"), y["h"].alias("next")))
-    both = F.zip_with(next_, F.concat(nothing, at), lambda x, y: F.struct(x["k"].alias("k"), (x["h"].eqNullSafe(x["next"]) | x["h"].eqNullSafe(y["h"])).alias("again")))
-    positions = F.array_sort(F.transform(F.filter(both, lambda x: x["k"].isNotNull() & x["again"]), lambda x: x["k"]))
-    gaps = F.zip_with(positions, F.slice(positions, 2, F.size(positions)), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    """Number of words under the windows whose hash occurs more than once; each step is computed once and sorted without a
+    comparing function."""
+    at = F.sort_array(F.transform(windows, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
+    return _let(_let(at, _again), _under)
+
+
+def _again(at: Column) -> Column:
+    """The places of the windows whose hash the one before or behind them has, in (hash, place) order of all; sorted."""
+    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,k:int>")), at)
+    same = F.zip_with(at, before, lambda x, y: F.struct(x["k"].alias("k"), F.coalesce(x["h"] == y["h"], F.lit(False)).alias("same")))
+    kept = _let(same, lambda s: F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x["same"] | F.coalesce(y["same"], F.lit(False)), x["k"])), lambda k: k.isNotNull()))
+    return F.sort_array(kept)
+
+
+def _under(places: Column) -> Column:
+    """Number of words under windows at these places."""
+    gaps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
 
 
