@@ -75,6 +75,18 @@ def default_rules() -> list[Rule]:
     ]
 
 
+def portrait_rules(forbidden_tag: str = "you") -> list[Rule]:
+    """Rules on ``portrait`` (card, note, img, tag) and ``site`` (synced); where several cards are credited, each needs a picture."""
+    credited = "lower(coalesce(note, '')) LIKE '%creator of this website%'"
+    return [
+        Rule("the maker of the site is credited", "portrait", credited, 1),
+        Rule("portrait of the maker is embedded", "portrait", f"NOT ({credited}) OR img RLIKE '^data:image/(jpeg|png|webp);base64,'"),
+        Rule("portraits are embedded", "portrait", f"NOT ({_filled('img')}) OR img LIKE 'data:image/%'"),
+        Rule(f"no card has the tag {forbidden_tag}", "portrait", f"coalesce(tag, '') <> '{forbidden_tag}'"),
+        Rule("sync date is written year-month-day", "site", "synced RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'"),
+    ]
+
+
 def _held(rule: Rule) -> Column:
     if rule.distinct:
         return F.count_distinct(F.expr(rule.holds))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimcheck.functions import lexicon as lx
-from claimcheck.session import small_side
+from claimcheck.session import cut_lineage, small_side
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -126,10 +126,29 @@ def typed_edit_batches(spark: SparkSession, path: str, order: DataFrame) -> Data
     return rows.join(small_side(order), "batch").select("batch", "ord", "card", F.col("seq").cast("long").alias("seq"), "edit")
 
 
-def harvest_labels(docs: DataFrame, column: str) -> DataFrame:
-    """Every string under a key ``l`` anywhere in a JSON document."""
-    return docs.select(
-        F.explode(
-            F.regexp_extract_all(F.col(column), F.lit(r'"l"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
-        ).alias("label")
-    )
+def walk_documents(docs: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Every member of the objects and arrays of JSON documents, at any depth: (keep..., path, name, node VARIANT).
+
+    ``name`` is the key in an object and null in an array; keys, whatever they are, stand decoded in ``path``. One round per
+    level over all documents at once, and only objects and arrays go on to the next. Text that is not JSON has no members.
+    """
+    tvf = docs.sparkSession.tvf
+    level = docs.select(*keep, F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("node"))
+    out = None
+    while True:
+        inside = level.lateralJoin(tvf.variant_explode(F.col("node").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
+        members = cut_lineage(inside.select(*keep, F.concat("path", step).alias("path"), F.col("key").alias("name"), F.col("value").alias("node")))
+        out = members if out is None else out.unionByName(members)
+        level = members.where(F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)")).drop("name")
+        if level.isEmpty():
+            return out
+
+
+def harvest_labels(docs: DataFrame, column: str, *keep: str, name: str = "l") -> DataFrame:
+    """Every string under a key ``l`` anywhere in JSON documents, decoded, as (keep..., path, label).
+
+    Other values under the key are no labels; what they hold is walked like the rest.
+    """
+    found = walk_documents(docs, column, *keep).where(F.col("name") == name).where(F.schema_of_variant("node") == "STRING")
+    return found.select(*keep, "path", F.try_variant_get("node", "$", "string").alias("label"))

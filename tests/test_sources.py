@@ -17,6 +17,34 @@ def test_json_sources(spark, tmp_path):
     assert [r["label"] for r in rd.harvest_labels(docs, "body").collect()] == ["Letter"]
 
 
+def test_labels_at_any_depth(spark):
+    """The walk finds what a recursive reading of the parsed document finds, and nothing in text that is not JSON."""
+    bodies = [
+        {"l": "a \"b\" \\ é\n\u2028", "x": [[{"l": "deep", "m": {"l": {"l": "inner"}}}, 3, None, "l"], {"l": 5}, {"l": None}, {"l": ["l", {"l": ""}]}]},
+        {"a.b": {"": {"l": "odd keys"}}, "l": True},
+        ["l", {"l": "in an array"}], "l", 7, None, {}, [], {"l": "42"},
+    ]
+    nest = {"l": "bottom"}
+    for _ in range(40):
+        nest = {"c": [nest]}
+    bodies.append(nest)
+
+    def labels(node):
+        if isinstance(node, list):
+            return [x for v in node for x in labels(v)]
+        if not isinstance(node, dict):
+            return []
+        own = [node["l"]] if isinstance(node.get("l"), str) else []
+        return own + [x for v in node.values() for x in labels(v)]
+
+    rows = [(k, json.dumps(b)) for k, b in enumerate(bodies)] + [(90, "no json {"), (91, ""), (92, None), (0, json.dumps(bodies[0]))]
+    docs = spark.createDataFrame(rows, "id int, body string")
+    got = sorted((r.id, r.label) for r in rd.harvest_labels(docs, "body", "id").collect())
+    assert got == sorted([(k, x) for k, b in enumerate(bodies) for x in labels(b)] + [(0, x) for x in labels(bodies[0])])
+    assert "$.x[0][0].m.l.l" in {r.path for r in rd.harvest_labels(docs, "body").collect()}
+    assert rd.harvest_labels(docs.limit(0), "body").count() == 0
+
+
 def test_url_list_and_state(spark, tmp_path):
     (tmp_path / "urls.tsv").write_text("# comment\nhigh\t3\tpage\thttps://a.org/\nlow\tx\tfile\thttps://b.org/\n")
     got = {r["url"]: (r["id"], r["dependents"]) for r in rd.url_list(spark, str(tmp_path / "urls.tsv")).collect()}
