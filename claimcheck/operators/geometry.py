@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimcheck.functions.text import let
 from claimcheck.operators.constraints import Rule
 from claimcheck.operators.tree import earlier_sum
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Digits of numbers to the base 32, as SQL reads them; the sixth bit left aside, ALPHABET runs through them twice.
+BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Digits that continue a number, and those that end one.
 MORE, LAST = "[g-z0-9+/]", "[A-Za-f]"
 NUMBER = f"{MORE}*{LAST}"
@@ -22,10 +25,8 @@ BLOCK = 256
 
 def _value(code: Column) -> Column:
     """The signed integer of one coded number."""
-    digits = F.split(F.reverse(code), "")
-    n = F.aggregate(F.filter(digits, lambda c: c != ""), F.lit(0).cast("long"), lambda acc, c: acc * 32 + (F.instr(F.lit(ALPHABET), c) - 1) % 32)
-    half = F.shiftright(n, 1)
-    return F.when(n % 2 == 1, -half - 1).otherwise(half)
+    n = F.conv(F.translate(F.reverse(code), ALPHABET, BASE32 * 2), 32, 10).cast("long")
+    return let(n, lambda n: F.when(n % 2 == 1, -F.shiftright(n, 1) - 1).otherwise(F.shiftright(n, 1)))
 
 
 def _sums(values: Column) -> Column:
