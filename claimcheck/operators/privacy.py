@@ -81,12 +81,13 @@ def leak_scan(texts: DataFrame, key: str, column: str, index: DataFrame) -> Data
 
     An entry and a text meet on the entry's first words, at most ``LEAD`` of them, by equality; the
     whole entry is then looked for in the text's words. So the number of passes over the texts does
-    not depend on the lengths of the entries.
+    not depend on the lengths of the entries. Runs are made of the lengths that some entry asks for.
     """
     words = F.split("token", " ")
     entries = index.select("token", "tier", F.least(F.size(words), F.lit(LEAD)).alias("n"), F.array_join(F.slice(words, 1, LEAD), " ").alias("lead"))
     staged = texts.select(key, letters(F.col(column)).alias("_words"))
-    runs = F.flatten(F.array(*[_numbered(word_runs(F.col("_words"), n), n) for n in range(1, LEAD + 1)]))
+    lengths = [r["n"] for r in entries.select("n").distinct().orderBy("n").collect()] or [LEAD]
+    runs = F.flatten(F.array(*[_numbered(word_runs(F.col("_words"), n), n) for n in lengths]))
     leads = staged.select(key, F.explode(F.array_distinct(runs)).alias("lead"))
     met = leads.join(small_side(entries.select("token", "tier", F.concat_ws(" ", F.col("n").cast("string"), "lead").alias("lead"))), "lead").select(key, "token", "tier").distinct()
     short = met.where(F.size(words) <= LEAD)
