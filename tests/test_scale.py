@@ -11,6 +11,7 @@ from claimcheck.functions import regex as rx
 from claimcheck.functions import text as tx
 from claimcheck.operators import arithmetic as ar
 from claimcheck.operators import geometry as ge
+from claimcheck.operators import names as nm
 from claimcheck.operators import privacy as pv
 from claimcheck.plans.suite import run_checks
 from claimcheck.session import spread
@@ -36,6 +37,28 @@ def test_sentences_hold_dots_only_where_they_did(spark):
     assert got == [["St. Mary lies at A. Town.", "Next.", '"So" it is'], ["one sentence only."], [], None]
 
 
+def test_sentences_are_cut_in_one_pass(spark):
+    rows = [("Dr. Bell came.\u0004 So did co. Next\u0003 Last! \u201cSo\u201d it is. ",), ("A\u0003 B",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(tx.sentences(F.col("t"))).collect()]
+    assert got == [["Dr. Bell came.\u0004 So did co. Next. Last!", '"So" it is.'], ["A. B"], [], None]
+    # one pattern replaces, and the text is cut at a plain character
+    assert plan(df.select(tx.sentences(F.col("t")).alias("s"))).count("regexp_replace") == 1
+
+
+def test_place_mentions_make_runs_only_where_a_name_begins(spark):
+    names = ["Saint Mary on the Hill (R)", "Mary (R)", "St. Ives (R)", "---- (R)", None, "Ur (R)", "Saint Mary (R)"]
+    place = spark.createDataFrame(list(enumerate(names, 1)), "k int, n string")
+    texts = ["At saint mary on the hill, not Mary's.", "saint mary on a hill; St, Ives; Ur ----", "St. Ives and Rosemary, St. Ives", None, "Saint", ""]
+    units = spark.createDataFrame(list(enumerate(texts, 1)), "id int, sentence string")
+    found = nm.place_mentions(units, place, ["id"])
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (1, 7), (2, 2), (2, 7), (3, 3)]
+    assert sorted(map(tuple, nm.place_mentions(units, place, ["id"], ignore_case=False).collect())) == [(1, 2), (3, 3)]
+    # no runs of every length at every word, and the words of a text are cut once
+    assert "sequence(" not in plan(found)
+    assert plan(found).count("regexp_extract_all(lower(sentence") <= 1
+
+
 def test_hedge_hits_read_a_sentence_once(spark):
     rows = [("It may have been so, whether or not.",), ("A register gives it.",), ("No act says so, perhaps.",), (None,)]
     df = spark.createDataFrame(rows, "t string")
