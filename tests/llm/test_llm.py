@@ -71,6 +71,50 @@ def test_jaccard_join_equals_all_pairs(spark, docs, monkeypatch, short_list):
     assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=str) == brute_components(copies())
 
 
+def test_jaccard_join_in_turns_equals_all_pairs(spark, docs, monkeypatch):
+    """Sets that meet in many turns give the same groups; what one turn sends is a part."""
+    sent, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "TURN", 8)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
+    monkeypatch.setattr(jaccard_join, "LIST_TURNS", 1)
+    monkeypatch.setattr(jaccard_join, "_links", lambda docs, nodes, some, how: sent.append(some.count()) or links(docs, nodes, some, how))
+    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=str) == brute_components(copies())
+    assert len(sent) > 2 and max(sent) < sum(sent)
+
+
+def test_sets_are_sent_once_for_many_partners(spark, monkeypatch):
+    """Of 20 groups of 12 near copies, with 66 pairs each, a set goes to its group and not to each of its 11 partners."""
+    sent, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda docs, nodes, some, how: sent.append(some.count()) or links(docs, nodes, some, how))
+    rows = [(12 * g + k, " ".join(f"g{g}w{i}" for i in range(80)) + f" end{g}of{k}") for g in range(20) for k in range(12)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 12 * 12) for i in range(240)]
+    assert 240 <= sum(sent) <= 2 * 240
+
+
+def test_shingles_common_to_many_runs_stand_back(monkeypatch):
+    """A shingle that comes once in each run is counted over all of them, by the upper bits of its hash."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"shared line of five words own{k} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k} k{k}" for k in range(3 * jaccard_join.COMMON)] + [None, "", "x"]
+    monkeypatch.setattr(jaccard_join, "RUN", 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["doc_id", "text", "print"])
+    out = pa.Table.from_batches(list(jaccard_join._count(iter([batch]), 5)))
+    assert out.column("token").null_count == len(out)  # no run sees a shingle twice
+    runs = sorted((r for r in out.select(["range", "of_middle", "low"]).to_pylist() if r["range"] is not None), key=lambda r: r["range"])
+    pieces = [pa.RecordBatch.from_pylist(runs[k : k + 7], pa.schema([("range", pa.int32()), ("of_middle", pa.binary()), ("low", pa.binary())])) for k in range(0, len(runs), 7)]
+    common = np.zeros((jaccard_join.RANGES, (1 << 32) // jaccard_join.RANGES // jaccard_join.FOLD // 8), np.uint8)
+    for part in pa.Table.from_batches(list(jaccard_join._common(iter(pieces)))).to_pylist():
+        common[part["range"]] = np.frombuffer(part["bits"], np.uint8)
+    shared = jaccard_join.shingle_set("shared line of five words", 5, jaccard_join._WordHashes())
+    place = int(shared[0] >> np.uint64(32)) // jaccard_join.FOLD
+    assert np.bitwise_count(common).sum() == 1 and common.ravel()[place >> 3] >> (place & 7) & 1
+    none = np.empty(0, np.int64)
+    sets = pa.Table.from_batches(list(jaccard_join._prefixes(iter([batch]), jaccard_join.Similarity(), none, none, common.ravel())))
+    assert len(sets) == len(texts) - 2 and not [r for r in sets.column("rare").to_pylist()[:-1] if int(shared.view(np.int64)[0]) in r]
+
+
 def test_one_of_each_group_stays(spark, docs):
     want = collections.Counter(c for _, n, c in brute_components(copies()) if n)
     left = jaccard_join.one_of_each_group(docs).collect()
