@@ -141,6 +141,9 @@ def hamming_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     counted first. One with over MOST members, as a large group of near copies makes, is not compared whole: its members
     are dealt anew by balls around segments of the bits that it leaves open, 16, 8 and at last 4 wide, which ends with
     buckets whose size has a fixed bound. No pair is lost by that, and each bucket gives out a forest, not its pairs.
+
+    Rows and sizes are merged: Spark sizes both by the bytes of a few columns before the rows are multiplied, and would
+    broadcast a table of tens of millions of buckets.
     """
     if not 0 <= distance <= 3:
         raise ValueError("halves with balls of radius 1 find distances up to 3")
@@ -148,7 +151,7 @@ def hamming_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     out = None
     for width in (16, 8, 4, 0):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        met = stored(rows.join(sizes, "bucket"))
+        met = stored(rows.join(sizes.hint("merge"), "bucket"))
         whole = met.where(F.col("n") <= MOST) if width else met
         pairs = whole.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(lambda it: _links(it, distance), "a long, b long")
         out = pairs if out is None else out.union(pairs)
@@ -170,7 +173,7 @@ def simhash_groups(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     found = stored(fingerprints(docs, how))
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     roots = components(hamming_links(nodes.select("fp"), how.distance))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_print = named.join(least, "root").select("fp", "component_id")
-    return found.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = named.join(least.hint("merge"), "root").select("fp", "component_id")
+    return found.join(of_print.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -105,3 +105,14 @@ def test_query_equals_all_pairs(spark):
     found = queries.op11_simhash(spark, SF)
     assert found.dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
     assert sorted(map(tuple, found.collect()), key=str) == brute_groups(rows)
+
+
+def test_buckets_are_not_broadcast_by_their_guessed_size(spark, monkeypatch):
+    """Each fingerprint becomes about 34 rows, which Spark's guess of the size does not know; no side of that is sent to the driver."""
+    plans, write = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    rows = [(k, f"some words of text {k // 2}") for k in range(60)]
+    out = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+    assert sorted(map(tuple, out.collect()), key=str) == brute_groups(rows)
