@@ -75,7 +75,6 @@ def test_jaccard_join_in_turns_equals_all_pairs(spark, docs, monkeypatch):
     """Sets that meet in many turns give the same groups; what one turn sends is a part."""
     sent, links = [], jaccard_join._links
     monkeypatch.setattr(jaccard_join, "TURN", 8)
-    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
     monkeypatch.setattr(jaccard_join, "LIST_TURNS", 1)
     monkeypatch.setattr(jaccard_join, "_links", lambda docs, nodes, some, how: sent.append(some.count()) or links(docs, nodes, some, how))
     assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=str) == brute_components(copies())
